@@ -1,14 +1,345 @@
-"""Queries over the tables and their SQL counterparts."""
+"""Queries over the driver's tables, each with independent DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, records
+from ..operators import changes, lookup, runs, search, tree
+from ..schema import ID_MASK
+from ..sources import tables
+from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+FILES_SQL = """
+SELECT 'C' AS volume, 5::BIGINT AS mft_index, 5::BIGINT AS parent, '.' AS name, 0::BIGINT AS size, true AS is_directory
+UNION ALL SELECT 'C', 100 + r_regionkey::BIGINT, 5, r_name, 0, true FROM region
+UNION ALL SELECT 'C', 200 + n_nationkey::BIGINT, 100 + n_regionkey::BIGINT, n_name, 0, true FROM nation
+UNION ALL SELECT 'C', 1000000 + c_custkey, 200 + c_nationkey::BIGINT, c_name, 0, true FROM customer {0}
+UNION ALL SELECT 'C', 10000000 + o_orderkey, 1000000 + o_custkey, 'order_' || o_orderkey || '.' || substr(o_orderpriority, 1, 1), round(o_totalprice)::BIGINT, false FROM orders
+"""
+FILES = f"files AS ({FILES_SQL.format('')})"
+ORPHANED = f"files AS ({FILES_SQL.format('WHERE c_custkey % 97 <> 0')})"
+#: Chains, leaf first; a record whose parent is missing and not the root has none.
+CHAINS = """
+ok AS (SELECT f.*, f.parent = 5 AS top FROM files f WHERE f.parent = 5 OR EXISTS (SELECT 1 FROM files p WHERE p.mft_index = f.parent)),
+walk AS (
+  SELECT mft_index AS leaf, [name] AS chain, parent, top FROM ok
+  UNION ALL
+  SELECT w.leaf, list_append(w.chain, p.name), p.parent, p.top FROM walk w JOIN ok p ON p.mft_index = w.parent WHERE NOT w.top
+),
+chains AS (
+  SELECT f.mft_index, f.size, coalesce(w.chain, []) AS chain FROM files f
+  LEFT JOIN (SELECT leaf, arg_max(chain, len(chain)) AS chain FROM walk GROUP BY leaf) w ON w.leaf = f.mft_index
+)
+"""
+PATH_SQL = "'C:' || CASE WHEN len(chain) = 0 THEN '' ELSE chr(92) || array_to_string(list_reverse(chain), chr(92)) END"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def plain_tree(spark: SparkSession, sf_dir: str) -> tree.Tree:
+    return tree.Tree.of(tables.files(spark, sf_dir))
+
+
+def orphaned_tree(spark: SparkSession, sf_dir: str) -> tree.Tree:
+    return tree.Tree.of(tables.files(spark, sf_dir, with_orphans=True))
+
+
+# sources and counts
+
+
+@query(f"WITH {FILES} SELECT * FROM files")
+def file_scan(spark, sf_dir):
+    return tables.files(spark, sf_dir)
+
+
+@query(f"WITH {FILES} SELECT volume, mft_index, parent, name, size, is_directory FROM files")
+def mft_roundtrip(spark, sf_dir):
+    return records.decode_records(records.encode_records(tables.files(spark, sf_dir))).drop("torn")
+
+
+@query(f"WITH {FILES} SELECT count(*) AS n_files FROM files")
+def count_files(spark, sf_dir):
+    return lookup.count_files(tables.files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT max(mft_index) + 1 AS n_slots FROM files")
+def count_slots(spark, sf_dir):
+    return lookup.count_slots(tables.files(spark, sf_dir))
+
+
+@query("SELECT 'C' AS volume")
+def first_volume(spark, sf_dir):
+    return lookup.first_volume(tables.files(spark, sf_dir).select("volume").distinct())
+
+
+@query(f"WITH {FILES} SELECT volume, mft_index, name, size FROM files WHERE mft_index = 1000007")
+def find_by_index(spark, sf_dir):
+    return lookup.find_by_index(tables.files(spark, sf_dir), 1_000_007).select("volume", "mft_index", "name", "size")
+
+
+@query(f"WITH {FILES} SELECT volume, mft_index, name, size FROM files WHERE name = 'ASIA' ORDER BY mft_index LIMIT 1")
+def find_by_name(spark, sf_dir):
+    return lookup.find_by_name(tables.files(spark, sf_dir), "ASIA").select("volume", "mft_index", "name", "size")
+
+
+# decoding in relational form
+
+
+def name_attributes(spark, sf_dir):
+    """Line items as name attributes: the order is the record, the item's number its position, the quantity's rest the namespace."""
+    items = tables.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mft_index"), F.col("l_linenumber").alias("position"), (F.col("l_quantity").cast("int") % 4).alias("namespace"), F.concat(F.lit("n"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string")).alias("name"))
+    return items.groupBy("mft_index", "position").agg(F.min("namespace").alias("namespace"), F.min("name").alias("name"))
+
+
+@query("""
+WITH a AS (
+  SELECT l_orderkey AS mft_index, l_linenumber AS position, min(l_quantity::INT % 4) AS namespace, min('n' || l_partkey || '_' || l_suppkey) AS name FROM lineitem GROUP BY 1, 2
+), w AS (SELECT mft_index, name, row_number() OVER (PARTITION BY mft_index ORDER BY position) AS k FROM a WHERE namespace IN (1, 3)),
+l AS (SELECT mft_index, name, row_number() OVER (PARTITION BY mft_index ORDER BY position DESC) AS k FROM a)
+SELECT l.mft_index, coalesce(w.name, l.name) AS name FROM l LEFT JOIN w ON w.mft_index = l.mft_index AND w.k = 1 WHERE l.k = 1
+""")
+def name_choice(spark, sf_dir):
+    return records.choose_name(name_attributes(spark, sf_dir), ["mft_index"])
+
+
+@query(f"WITH {FILES} SELECT mft_index, size, is_directory FROM files")
+def bit_unpack(spark, sf_dir):
+    packed = tables.files(spark, sf_dir).select("mft_index", bits.pack_size(F.col("size"), F.col("is_directory")).alias("packed"))
+    return packed.select("mft_index", bits.unpack_size(F.col("packed")).alias("size"), bits.unpack_is_directory(F.col("packed")).alias("is_directory"))
+
+
+@query("SELECT o_orderkey, ((o_custkey % 1000) * 281474976710656 + o_orderkey) & 281474976710655 AS record FROM orders")
+def id_mask(spark, sf_dir):
+    reference = (F.col("o_custkey") % 1000) * F.lit(ID_MASK + 1) + F.col("o_orderkey")
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", bits.record_number(reference).alias("record"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 256 >= 128 THEN event_id % 256 - 256 ELSE event_id % 256 END AS low_byte, CASE WHEN event_id % 65536 >= 32768 THEN event_id % 65536 - 65536 ELSE event_id % 65536 END AS low_word FROM events")
+def sign_extension(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    word = lambda n: bits.sign_extend(F.col("event_id"), F.lit(n))
+    return e.select("event_id", word(1).alias("low_byte"), word(2).alias("low_word"))
+
+
+RUNS_SQL = "SELECT user_id, event_id AS position, event_id % 7 + 1 AS clusters, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 201 - 100 END AS delta FROM events"
+
+
+def event_runs(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    return e.select("user_id", F.col("event_id").alias("position"), (F.col("event_id") % 7 + 1).alias("clusters"), F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 201 - 100).alias("delta"))
+
+
+@query(f"WITH r AS ({RUNS_SQL}) SELECT user_id, position, clusters, CASE WHEN delta IS NULL THEN NULL ELSE (SELECT sum(coalesce(q.delta, 0)) FROM r q WHERE q.user_id = r.user_id AND q.position <= r.position) END::BIGINT AS start FROM r")
+def data_runs_prefix_sum(spark, sf_dir):
+    return records.absolute_runs(event_runs(spark, sf_dir), ["user_id"], "position").drop("delta")
+
+
+@query(f"""
+WITH r AS ({RUNS_SQL}), cells AS (
+  SELECT user_id, position, c - 1 AS cell, row_number() OVER (PARTITION BY user_id ORDER BY position, c) - 1 AS spot, CAST(floor(count(*) OVER (PARTITION BY user_id) / 7.0) AS BIGINT) AS share
+  FROM (SELECT user_id, position, unnest(generate_series(1, clusters)) AS c FROM r)
+)
+SELECT user_id, position, CASE WHEN share = 0 THEN 6 ELSE least(CAST(floor(spot / share::DOUBLE) AS BIGINT), 6) END::BIGINT AS "group", min(cell)::BIGINT AS from_cluster, count(*) AS n_clusters FROM cells GROUP BY ALL
+""")
+def run_split(spark, sf_dir):
+    return runs.split_runs_frame(event_runs(spark, sf_dir), ["user_id"], "position", 7).select("user_id", "position", F.col("group").cast("long").alias("group"), "from_cluster", "n_clusters")
+
+
+@query(f"SELECT coalesce(sum(clusters * 4096), 0)::BIGINT AS n_bytes FROM ({RUNS_SQL})")
+def total_run_bytes(spark, sf_dir):
+    return lookup.total_run_bytes(event_runs(spark, sf_dir).select(F.lit(0).alias("start"), (F.col("clusters") * 4096).alias("end")))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN event_id * 8 ELSE user_id END AS data_size, greatest(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN event_id * 8 ELSE user_id END, event_id) AS size FROM events")
+def attribute_sizes(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events")
+    data = records.data_size(F.col("event_type") != "view", F.col("event_type") == "click", F.col("event_id") * 8, F.col("user_id"))
+    return e.select("event_id", data.alias("data_size"), F.greatest(data, "event_id").alias("size"))
+
+
+# paths and search
+
+
+@query(f"WITH RECURSIVE {FILES}, {CHAINS} SELECT mft_index, {PATH_SQL} AS path, size FROM chains")
+def full_path(spark, sf_dir):
+    return tree.full_paths(plain_tree(spark, sf_dir)).select("mft_index", "path", "size")
+
+
+@query(f"WITH RECURSIVE {ORPHANED}, {CHAINS} SELECT mft_index, {PATH_SQL} AS path, size FROM chains")
+def full_path_orphans(spark, sf_dir):
+    return tree.full_paths(orphaned_tree(spark, sf_dir)).select("mft_index", "path", "size")
+
+
+def search_sql(text: str) -> str:
+    tests = [f"(len(chain) < {k} OR contains(chain[{k}], '{term}'))" for k, term in enumerate(search.parse(text), 1)]
+    return f"WITH RECURSIVE {ORPHANED}, {CHAINS} SELECT mft_index, {PATH_SQL} AS path, size FROM chains WHERE {' AND '.join(tests) or 'true'}"
+
+
+def searched(text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = orphaned_tree(spark, sf_dir)
+        return tree.full_paths(own, search.search(own, text)).select("mft_index", "path", "size")
+
+    return run
+
+
+SEARCHES = {
+    "search_all": "//", "search_one": "order_1", "search_two": "NATION_3/Customer", "search_three": "NATION_3/Customer#0000000/order_", "search_deep": "ASIA/NATION_3/Customer/order_1",
+    "search_absolute": "C:\\ASIA\\NATION_1", "search_truncated": "nope/ASIA", "search_orphans": "no such name", "search_literal": "order_%",
+}
+for _name, _text in SEARCHES.items():
+    QUERIES[_name], ORACLES[_name] = searched(_text), search_sql(_text)
+
+
+@query(f"WITH RECURSIVE {ORPHANED}, {CHAINS} SELECT mft_index FROM chains WHERE len(chain) > 0 AND contains(chain[1], 'order_1')")
+def search_strict(spark, sf_dir):
+    return search.search(orphaned_tree(spark, sf_dir), "order_1", strict=True).select("mft_index")
+
+
+@query(search_sql("order_1") + " ORDER BY mft_index LIMIT 50 OFFSET 100")
+def search_page(spark, sf_dir):
+    own = orphaned_tree(spark, sf_dir)
+    return tree.full_paths(own, lookup.page(search.search(own, "order_1"), 100, 50)).select("mft_index", "path", "size")
+
+
+@query(f"WITH {ORPHANED} SELECT mft_index, name FROM files f WHERE parent <> 5 AND parent NOT IN (SELECT mft_index FROM files)")
+def orphan_records(spark, sf_dir):
+    return tree.orphans(tables.files(spark, sf_dir, with_orphans=True)).select("mft_index", "name")
+
+
+@query("SELECT page_id, list_reverse(list_filter(string_split_regex(url, '[/]'), lambda x: x <> ''))[1] AS leaf, len(list_filter(string_split_regex(url, '[/]'), lambda x: x <> '')) AS depth FROM pages")
+def url_components(spark, sf_dir):
+    parts = tables.table(spark, sf_dir, "pages").select("page_id", bits.components(F.col("url")).alias("c"))
+    return parts.select("page_id", F.get("c", F.lit(0)).alias("leaf"), F.size("c").cast("long").alias("depth"))
+
+
+# change journal
+
+_EVENT = "SELECT event_id AS usn, user_id AS mft_index, event_type FROM events"
+REASON_SQL = "CASE event_id % 8 WHEN 0 THEN 256 WHEN 1 THEN 512 WHEN 2 THEN 4096 WHEN 3 THEN 8192 WHEN 4 THEN 256 + 2147483648 WHEN 5 THEN 256 + 512 WHEN 6 THEN 4096 + 8192 ELSE 0 END"
+
+
+@query(f"""
+SELECT event_id, CASE WHEN reason & 4096 <> 0 THEN 'old' WHEN reason & 256 = reason THEN 'create' WHEN reason & 512 <> 0 THEN 'delete' WHEN reason & 8192 <> 0 THEN 'rename' END AS op
+FROM (SELECT event_id, ({REASON_SQL})::BIGINT AS reason FROM events)
+""")
+def classify_reason(spark, sf_dir):
+    words = F.array(*[F.lit(x).cast("long") for x in (0x100, 0x200, 0x1000, 0x2000, 0x80000100, 0x300, 0x3000, 0)])
+    reason = F.element_at(words, (F.col("event_id") % 8 + 1).cast("int"))
+    return tables.table(spark, sf_dir, "events").select("event_id", bits.classify_reason(reason).alias("op"))
+
+
+# a queue per record is what the running balance, reset at zero, counts: written as sums of its own
+PAIRING_SQL = f"""
+WITH s AS (SELECT usn, mft_index, CASE event_type WHEN 'click' THEN 1 ELSE -1 END AS d FROM ({_EVENT}) WHERE event_type IN ('click', 'view')),
+b AS (SELECT *, sum(d) OVER (PARTITION BY mft_index ORDER BY usn) AS bal FROM s),
+m AS (SELECT *, least(0, coalesce(min(bal) OVER (PARTITION BY mft_index ORDER BY usn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM b)
+SELECT usn, mft_index, 'n' || usn AS name FROM m WHERE d = -1 AND bal >= low
+"""
+
+
+@query(PAIRING_SQL)
+def rename_pairing(spark, sf_dir):
+    return changes.pair_renames(changes.events(tables.journal(spark, sf_dir))).select("usn", "mft_index", "name")
+
+
+@query()
+def rename_pairing_capped(spark, sf_dir):
+    return changes.pair_renames_bounded(changes.events(tables.journal(spark, sf_dir))).select("usn", "mft_index", "name")
+
+
+REPLAY_SQL = """
+WITH log AS (SELECT event_id AS usn, user_id AS id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'rename' END AS op FROM events WHERE event_type IN ('signup', 'error', 'purchase')),
+gone AS (SELECT id, max(usn) AS last FROM log WHERE op = 'delete' GROUP BY id),
+born AS (SELECT l.id, min(l.usn) AS usn FROM log l LEFT JOIN gone g USING (id) WHERE l.op = 'create' AND l.usn > coalesce(g.last, -1) GROUP BY l.id)
+"""
+
+
+@query(REPLAY_SQL + "SELECT b.id AS mft_index, 'n' || coalesce((SELECT max(r.usn) FROM log r WHERE r.id = b.id AND r.op = 'rename' AND r.usn > b.usn), b.usn) AS name, b.usn AS created FROM born b")
+def replay_final(spark, sf_dir):
+    return changes.final_state(tables.replay_log(spark, sf_dir)).select("mft_index", "name", "created")
+
+
+@query(REPLAY_SQL + """
+SELECT l.usn, l.id AS mft_index, 'occupied' AS reason FROM log l WHERE l.op = 'create' AND EXISTS (
+  SELECT 1 FROM log e WHERE e.id = l.id AND e.op = 'create' AND e.usn < l.usn AND NOT EXISTS (SELECT 1 FROM log d WHERE d.id = l.id AND d.op = 'delete' AND d.usn BETWEEN e.usn AND l.usn))
+""")
+def replay_rejects(spark, sf_dir):
+    return changes.rejected_creates(tables.replay_log(spark, sf_dir)).select("usn", "mft_index", "reason")
+
+
+@query(f"""
+WITH {ORPHANED} SELECT event_id AS usn, user_id AS mft_index, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'rename' END AS op FROM events
+WHERE event_type = 'error' OR (event_type IN ('signup', 'purchase') AND EXISTS (SELECT 1 FROM files WHERE mft_index = 1000000 + user_id))
+""")
+def replay_parent_guard(spark, sf_dir):
+    return changes.with_static_parents(tables.replay_log(spark, sf_dir), tables.files(spark, sf_dir, with_orphans=True)).select("usn", "mft_index", "op")
+
+
+@query("""
+WITH cd AS (SELECT event_id, user_id, event_type, lead(event_type) OVER w AS nxt, lag(event_type) OVER w AS prv FROM events WHERE event_type IN ('signup', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+gone AS (SELECT event_id FROM cd WHERE (event_type = 'signup' AND nxt = 'error') OR (event_type = 'error' AND prv = 'signup'))
+SELECT event_id AS usn, user_id AS mft_index, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'rename' END AS op
+FROM events WHERE event_type IN ('signup', 'error', 'purchase') AND event_id NOT IN (SELECT event_id FROM gone)
+""")
+def create_delete_compact(spark, sf_dir):
+    return changes.compact(tables.replay_log(spark, sf_dir)).select("usn", "mft_index", "op")
+
+
+@query(f"WITH {FILES}, left_over AS (SELECT * FROM files WHERE NOT (mft_index BETWEEN 200 AND 299 AND mft_index % 5 = 0)) SELECT mft_index, name FROM left_over WHERE parent <> 5 AND parent NOT IN (SELECT mft_index FROM left_over)")
+def delete_orphans(spark, sf_dir):
+    files = tables.files(spark, sf_dir)
+    gone = files.where("mft_index between 200 and 299 and mft_index % 5 = 0")
+    return tree.orphans(changes.apply_deletes(files, gone)).select("mft_index", "name")
+
+
+@query("""
+WITH j AS (SELECT event_id AS usn, user_id AS id, event_type AS t FROM events),
+s AS (SELECT usn, id, CASE t WHEN 'click' THEN 1 ELSE -1 END AS d FROM j WHERE t IN ('click', 'view')),
+b AS (SELECT *, sum(d) OVER (PARTITION BY id ORDER BY usn) AS bal FROM s),
+m AS (SELECT *, least(0, coalesce(min(bal) OVER (PARTITION BY id ORDER BY usn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM b),
+ren AS (SELECT usn, id FROM m WHERE d = -1 AND bal >= low),
+gone AS (SELECT id, max(usn) AS last FROM j WHERE t = 'error' GROUP BY id),
+born AS (SELECT j.id, min(j.usn) AS usn FROM j LEFT JOIN gone g USING (id) WHERE j.t = 'signup' AND j.usn > coalesce(g.last, -1) GROUP BY j.id)
+SELECT 'C' AS volume, born.id AS mft_index, 5::BIGINT AS parent, 'n' || coalesce((SELECT max(r.usn) FROM ren r WHERE r.id = born.id AND r.usn > born.usn), born.usn) AS name, 0::BIGINT AS size, false AS is_directory FROM born
+""")
+def live_stream(spark, sf_dir):
+    """The journal as a stream through the stateful replay, then the snapshot. Below 2000 pending renames the queue's bound plays no part."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    live.use_rocksdb(spark)
+    folder = work_folder(spark)
+    try:
+        tables.journal(spark, sf_dir).write.parquet(f"{folder}/journal")
+        stream = spark.readStream.schema(tables.journal(spark, sf_dir).schema).parquet(f"{folder}/journal")
+        live.follow(stream, f"{folder}/outcomes", f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return live.snapshot(live.read_outcomes(spark, f"{folder}/outcomes"))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one, or a temporary one on a single machine."""
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/live-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="volumetrix-live-")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return QUERIES["search_two"](spark, sf_dir)
