@@ -103,16 +103,13 @@ def exact_groups(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS)
     maybe = possibly_repeated(own, "h", filter_bits(own.count(), max_bits))
     marked = own.withColumn("maybe", maybe("h"))
     through = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    again = marked.where("maybe").select("doc_id", "text_sha256")
-    groups = again.groupBy(F.col("text_sha256").alias("__vx_sha")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = again.join(groups, F.col("text_sha256") == F.col("__vx_sha")).drop("__vx_sha")
-    best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    losers = joined.where(~best).withColumn("kept", F.lit(False))
-    # rows that carry the largest id: one a group, unless a row is repeated in full
-    winners = joined.where(best).groupBy("doc_id", "keep_id", "group_size", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    winners = winners.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("kept", F.col("k") == 1)
+    # rows that repeat id and text are one until the end, so the join with the groups has nothing above it and may be split
+    again = marked.where("maybe").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    groups = again.groupBy(F.col("text_sha256").alias("__vx_sha")).agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    joined = again.join(groups, F.col("text_sha256") == F.col("__vx_sha")).drop("__vx_sha").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    settled = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 1))
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return through.select(columns).unionByName(losers.select(columns)).unionByName(winners.select(columns))
+    return through.select(columns).unionByName(settled.select(columns))
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
