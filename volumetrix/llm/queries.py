@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import exact_dedup, language_id, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, simhash_dedup, token_counts
 from .common import load
+from .oracles import ORACLES  # noqa: F401  (read by the entry module)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,32 +66,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_source_mixture, op3_line_dedup, op4_license_scan, op5_exact_dedup, op6_language_id, op7_secret_scan, op8_best_fit_packing, op9_token_counts, op10_simhash_dedup, pipeline)
 }
-
-#: DuckDB SQL for the queries that SQL can express. White space is written as a class of its six characters.
-_SPACE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
-_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-_OP3 = f"""
-WITH cut AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
-), line AS (
-  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM cut
-), keyed AS (
-  SELECT doc_id, pos, line, {_LOWER.format(f"trim(line, {_SPACE})")} AS k FROM line
-), often AS (
-  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
-), marked AS (
-  SELECT d.doc_id, d.pos, d.line, (o.k IS NOT NULL AND d.doc_id IS DISTINCT FROM o.last) AS lost FROM keyed d LEFT JOIN often o USING (k)
-)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(lost::INT) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
-"""
-
-_OP5 = """
-SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
-"""
-
-ORACLES: dict[str, str] = {"op3_line_dedup": _OP3, "op5_exact_dedup": _OP5}
