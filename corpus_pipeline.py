@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 or more characters found in 5 or more documents stay in one of them; n_chars follows the text."""
-    done = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
-    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    done = line_dedup.shorten(docs)
+    return done.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

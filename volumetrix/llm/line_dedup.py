@@ -48,8 +48,8 @@ def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.filter(hashed, lambda h: h.isNotNull()))).alias("h"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents' columns with the shortened text, plus n_lines, n_dropped (long)."""
+def _marked(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, Column, Column, Column]:
+    """The documents with the lines to lose; the shortened text, n_lines and n_dropped as columns over them."""
     often = frequent_lines(docs, min_chars, min_docs)
     repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     hits = join_checked(_hashes(docs, min_chars), often, "h")
@@ -66,5 +66,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     n_lines = F.size(lines).cast("long")
     text = F.when(F.col("__vx_stay").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join("__vx_stay", "\n"))
     dropped = F.when(F.col("__vx_stay").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__vx_stay")).cast("long")
-    own = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return cut.select(*own, n_lines.alias("n_lines"), dropped.alias("n_dropped"))
+    return cut, text, n_lines, dropped
+
+
+def _own(docs: DataFrame, text: Column, without: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in docs.columns if c.lower() not in without]
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents' columns with the shortened text, plus n_lines, n_dropped (long), which replace columns of these names."""
+    cut, text, n_lines, dropped = _marked(docs, min_chars, min_docs)
+    return cut.select(*_own(docs, text, ("n_lines", "n_dropped")), n_lines.alias("n_lines"), dropped.alias("n_dropped"))
+
+
+def shorten(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The documents with exactly their own columns and the shortened text."""
+    cut, text, _, _ = _marked(docs, min_chars, min_docs)
+    return cut.select(*_own(docs, text))
