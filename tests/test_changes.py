@@ -8,7 +8,7 @@ import pytest
 
 from volumetrix.functions.bits import classify_reason
 from volumetrix.operators import changes
-from volumetrix.schema import CHANGES, JOURNAL
+from volumetrix.schema import CHANGES, FILES, JOURNAL
 from volumetrix.sources.journal import JournalSource
 from volumetrix.streaming import live
 
@@ -25,9 +25,9 @@ def journal_rows(seed, n=300, ids=8):
     return [("C", u, rng.choice(kinds), (3 << 48) | rng.randint(10, 10 + ids), rng.choice([5, 5, 11, 12, (1 << 48) | 13]), rng.choice([0, 0x10]), f"n{u}") for u in range(n)]
 
 
-def fold_journal(rows, pending=2000):
-    """The whole journal, one record at a time."""
-    queue, fold, out = changes.RenameQueue(pending), changes.Fold(), []
+def fold_journal(rows, pending=2000, files=None):
+    """The whole journal, one record at a time, from the table ``files`` on."""
+    queue, fold, out = changes.RenameQueue(pending), changes.Fold(files), []
     for _, usn, reason, ref, parent, attributes, name in rows:
         index, parent = ref & (1 << 48) - 1, parent & (1 << 48) - 1
         if reason & OLD:
@@ -123,3 +123,19 @@ def test_stream_equals_fold(spark, tmp_path, per_batch):
     assert {r.mft_index: (r.parent, r["name"], r["size"], r.is_directory) for r in live.snapshot(done).collect()} == files
     assert live.rejects(done).count() == sum(x[3] is not None for x in want)
     assert len(seen) >= len(rows) // per_batch
+
+
+def test_stream_starts_from_a_table(spark, tmp_path):
+    """Records of the loaded table take creates, renames and deletes like those the journal made."""
+    rows = journal_rows(7)
+    start = {i: (5, f"old{i}", 10 * i, i % 2 == 0) for i in range(9, 15)} | {900: (5, "untouched", 1, False), 901: (900, "kept", 2, False)}
+    initial = spark.createDataFrame([("C", i, *f) for i, f in start.items()] + [("D", 1, 5, "other", 3, False)], FILES)
+    spark.createDataFrame(rows, JOURNAL).coalesce(2).write.parquet(str(tmp_path / "j"))
+    live.use_rocksdb(spark)
+    stream = spark.readStream.schema(JOURNAL).parquet(str(tmp_path / "j"))
+    live.follow(stream, str(tmp_path / "out"), str(tmp_path / "ck"), {"availableNow": True}, initial=initial).awaitTermination()
+    done = live.read_outcomes(spark, str(tmp_path / "out"))
+    want, files = fold_journal([r for r in rows if r[2] & 0x3300], files=dict(start))
+    assert sorted((r.usn, r.op, r.mft_index, r.rejected) for r in done.collect()) == want
+    got = {(r.volume, r.mft_index): (r.parent, r["name"], r["size"], r.is_directory) for r in live.snapshot(done, initial).collect()}
+    assert got == {("C", i): f for i, f in files.items()} | {("D", 1): (5, "other", 3, False)}

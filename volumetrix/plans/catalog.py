@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits, records
+from ..functions import bits, frames, records
 from ..operators import changes, lookup, runs, search, tree
-from ..schema import ID_MASK
+from ..schema import ID_MASK, ROOT
 from ..sources import tables
 from ..streaming import live
 
@@ -245,6 +245,12 @@ def classify_reason(spark, sf_dir):
     return tables.table(spark, sf_dir, "events").select("event_id", bits.classify_reason(reason).alias("op"))
 
 
+@query("SELECT 'C' AS volume, event_id AS usn, CASE event_type WHEN 'signup' THEN 256 WHEN 'error' THEN 512 WHEN 'click' THEN 4096 ELSE 8192 END::BIGINT AS reason, user_id AS file_ref, 5::BIGINT AS parent_ref, 0::BIGINT AS file_attributes, 'n' || event_id AS name FROM events WHERE event_type <> 'purchase'")
+def journal_roundtrip(spark, sf_dir):
+    """Rows to raw buffers and back; purchases have no reason that is read."""
+    return frames.decode_journal(frames.encode_journal(tables.journal(spark, sf_dir), following=1 << 40))
+
+
 # a queue per record is what the running balance, reset at zero, counts: written as sums of its own
 PAIRING_SQL = f"""
 WITH s AS (SELECT usn, mft_index, CASE event_type WHEN 'click' THEN 1 ELSE -1 END AS d FROM ({_EVENT}) WHERE event_type IN ('click', 'view')),
@@ -309,28 +315,48 @@ def delete_orphans(spark, sf_dir):
     return tree.orphans(changes.apply_deletes(files, gone)).select("mft_index", "name")
 
 
-@query("""
+LIVE_SQL = """
 WITH j AS (SELECT event_id AS usn, user_id AS id, event_type AS t FROM events),
 s AS (SELECT usn, id, CASE t WHEN 'click' THEN 1 ELSE -1 END AS d FROM j WHERE t IN ('click', 'view')),
 b AS (SELECT *, sum(d) OVER (PARTITION BY id ORDER BY usn) AS bal FROM s),
 m AS (SELECT *, least(0, coalesce(min(bal) OVER (PARTITION BY id ORDER BY usn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM b),
 ren AS (SELECT usn, id FROM m WHERE d = -1 AND bal >= low),
 gone AS (SELECT id, max(usn) AS last FROM j WHERE t = 'error' GROUP BY id),
+"""
+
+
+@query(LIVE_SQL + """
 born AS (SELECT j.id, min(j.usn) AS usn FROM j LEFT JOIN gone g USING (id) WHERE j.t = 'signup' AND j.usn > coalesce(g.last, -1) GROUP BY j.id)
 SELECT 'C' AS volume, born.id AS mft_index, 5::BIGINT AS parent, 'n' || coalesce((SELECT max(r.usn) FROM ren r WHERE r.id = born.id AND r.usn > born.usn), born.usn) AS name, 0::BIGINT AS size, false AS is_directory FROM born
 """)
 def live_stream(spark, sf_dir):
     """The journal as a stream through the stateful replay, then the snapshot. Below 2000 pending renames the queue's bound plays no part."""
+    return streamed(spark, sf_dir)
+
+
+# a row of the loaded table is a create before the log
+@query(LIVE_SQL + """
+made AS (SELECT id, usn, 'n' || usn AS name, 0::BIGINT AS size FROM j WHERE t = 'signup' UNION ALL SELECT c_custkey, -1, c_name, c_nationkey FROM customer),
+born AS (SELECT made.id, min(made.usn) AS usn, arg_min(made.name, made.usn) AS name, arg_min(made.size, made.usn) AS size FROM made LEFT JOIN gone g ON g.id = made.id WHERE made.usn > coalesce(g.last, -2) GROUP BY made.id)
+SELECT 'C' AS volume, born.id AS mft_index, 5::BIGINT AS parent, coalesce('n' || (SELECT max(r.usn) FROM ren r WHERE r.id = born.id AND r.usn > born.usn), born.name) AS name, born.size, false AS is_directory FROM born
+""")
+def live_stream_loaded(spark, sf_dir):
+    """The same journal over a loaded table, customers as its records."""
+    customer = tables.table(spark, sf_dir, "customer")
+    return streamed(spark, sf_dir, customer.select(F.lit("C").alias("volume"), F.col("c_custkey").alias("mft_index"), F.lit(ROOT).cast("long").alias("parent"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("size"), F.lit(False).alias("is_directory")))
+
+
+def streamed(spark: SparkSession, sf_dir: str, initial: DataFrame | None = None) -> DataFrame:
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     live.use_rocksdb(spark)
     folder = work_folder(spark)
     try:
         tables.journal(spark, sf_dir).write.parquet(f"{folder}/journal")
         stream = spark.readStream.schema(tables.journal(spark, sf_dir).schema).parquet(f"{folder}/journal")
-        live.follow(stream, f"{folder}/outcomes", f"{folder}/checkpoint", {"availableNow": True}).awaitTermination()
+        live.follow(stream, f"{folder}/outcomes", f"{folder}/checkpoint", {"availableNow": True}, initial=initial).awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return live.snapshot(live.read_outcomes(spark, f"{folder}/outcomes"))
+    return live.snapshot(live.read_outcomes(spark, f"{folder}/outcomes"), initial)
 
 
 def work_folder(spark: SparkSession) -> str:

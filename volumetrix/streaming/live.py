@@ -31,6 +31,10 @@ class Replay(StatefulProcessor):
         self.files = handle.getMapState("files", "mft_index bigint", "parent bigint, name string, size bigint, is_directory boolean")
         self.queue = handle.getListState("renames", "mft_index bigint")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for r in initialState.itertuples(index=False):
+            self.files.updateValue((int(r.mft_index),), (int(r.parent), r.name, int(r.size), bool(r.is_directory)))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("usn", kind="stable")
         queue = RenameQueue(self.pending, (r[0] for r in self.queue.get()))
@@ -68,27 +72,35 @@ class Replay(StatefulProcessor):
 
 
 def outcomes(stream: DataFrame, initial: DataFrame | None = None, pending: int = PENDING_RENAMES) -> DataFrame:
-    """Journal rows (batch schema) to one row per change with its outcome."""
-    return events(stream).groupBy("volume").transformWithStateInPandas(Replay(pending), OUTCOMES, "Append", "None")
+    """Journal rows (batch schema) to one row per change with its outcome, starting from the table ``initial``."""
+    found, start = events(stream).groupBy("volume"), None
+    if initial is not None:
+        start = initial.select("volume", "mft_index", "parent", "name", "size", "is_directory").groupBy("volume")
+    return found.transformWithStateInPandas(Replay(pending), OUTCOMES, "Append", "None", initialState=start)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def snapshot(applied: DataFrame) -> DataFrame:
-    """The table after all accepted changes: the last one of each record, unless it is a delete."""
+def snapshot(applied: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """The table after all accepted changes: the last one of each record, unless it is a delete, and what ``initial`` has of others."""
     last = applied.where("rejected is null").groupBy("volume", "mft_index").agg(F.max_by(F.struct("op", "parent", "name", "size", "is_directory"), "usn").alias("r"))
-    return last.where("r.op <> 'delete'").select("volume", "mft_index", "r.parent", "r.name", "r.size", "r.is_directory")
+    now = last.where("r.op <> 'delete'").select("volume", "mft_index", "r.parent", "r.name", "r.size", "r.is_directory")
+    if initial is None:
+        return now
+    return initial.select(now.columns).join(last.select("volume", "mft_index"), ["volume", "mft_index"], "left_anti").unionByName(now)
 
 
 def rejects(applied: DataFrame) -> DataFrame:
     return applied.where("rejected is not null").select("volume", "usn", "op", "mft_index", F.col("rejected").alias("reason"))
 
 
-def follow(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, refreshed: Callable[[int], None] | None = None) -> StreamingQuery:
+def follow(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, refreshed: Callable[[int], None] | None = None, initial: DataFrame | None = None) -> StreamingQuery:
     """Appends outcomes to Parquet under ``path``, a folder per batch so that a retried batch replaces itself.
 
+    ``initial`` is the table the journal starts from, loaded into the state before the first batch.
+
     ``trigger`` defaults to one batch a second; ``refreshed`` is called with each batch number.
     """
 
@@ -97,7 +109,7 @@ def follow(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
         if refreshed:
             refreshed(number)
 
-    writer = outcomes(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = outcomes(stream, initial).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
