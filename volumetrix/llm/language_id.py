@@ -5,7 +5,8 @@ A word's probability in a language is the sum over all its segmentations into pi
 algorithm); a text's score is the sum of its words' log probabilities, and the prediction the
 language with the highest, score being its posterior under equal priors.
 
-Fitting reads at most about ``TRAIN_DOCS`` labelled texts per language, chosen by a hash of doc_id;
+Fitting reads at most about ``TRAIN_DOCS`` labelled texts per language, chosen by a hash of doc_id, of at
+most ``MAX_LANGS`` languages, which bounds what is collected and broadcast (vocabulary x languages);
 prediction reads every whole text. Distinct words of a batch are scored once.
 
 Edge cases: a text that is null or has no letters is ``und`` with score 0; so is every text if no
