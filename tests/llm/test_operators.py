@@ -438,6 +438,18 @@ def test_simhash_components(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_keep_one_where_ids_repeat(spark):
+    """Rows with one id or none, of different components, all stay; of each component one row does."""
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (1, b), (2, a), (2, a), (None, c), (None, d), (None, d), (None, b), (None, None), (3, ""), (3, e)]
+    docs = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(1, a), (1, b), (None, c), (None, d), (3, ""), (3, e)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+
+
 def test_links_lose_nothing(spark):
     rng = random.Random(8)
     flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))

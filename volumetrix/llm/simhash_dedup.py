@@ -14,7 +14,7 @@ all values within half the threshold of them, which is exact and linear in the g
 
 Edge cases: null and wordless texts have fingerprint zero and link like any other; fewer than four
 words are one shingle. Repeated rows get one component. A null doc_id never names a component unless
-all ids in it are null. An empty table gives an empty result. Other columns pass ``keep_one`` untouched.
+all ids in it are null; ``keep_one`` then keeps one of its rows. An empty table gives an empty result. Other columns pass ``keep_one`` untouched.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, materialise
 
@@ -64,16 +65,18 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long); map-only."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+def fingerprints(docs: DataFrame, text: str = "text", row: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and the row itself as a struct if asked; map-only."""
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__vx_row")] if row else []
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__vx_text"), *whole)
+    schema = T.StructType([own.schema["doc_id"], T.StructField("fp", T.LongType()), *own.schema.fields[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=schema.names)
 
-    return own.mapInArrow(run, "doc_id long, fp long")
+    return own.mapInArrow(run, schema)
 
 
 def pivots(n: int = PIVOTS, seed: int = PIVOT_SEED) -> np.ndarray:
@@ -240,24 +243,33 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicate_components(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per document row."""
+def classes(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component) and component_id: one row per document row."""
     own = materialise(fingerprints(docs, text), "simhash-fps")
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = materialise(connected(links(distinct, threshold, group_rows)), "simhash-roots")
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = of.join(named, "root").select(F.col("fp").alias("__vx_fp"), "component_id")
-    return own.join(classes, F.col("fp") == F.col("__vx_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = of.join(named, "root").select(F.col("fp").alias("__vx_fp"), "root", "component_id")
+    return own.join(found, F.col("fp") == F.col("__vx_fp")).select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicate_components(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per document row."""
+    return classes(docs, text, threshold, group_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """The documents with their own columns, one of each component: the one with the smallest id.
+    """The documents with their own columns, one row of each component: one with the smallest id, nulls last.
 
-    A row that repeats its doc_id in full is kept once.
+    Where ids are not unique, rows are told apart by id and fingerprint, so that rows which share an
+    id (or have none) but belong to different components all stay.
     """
-    found = materialise(near_duplicate_components(docs, text, threshold), "simhash-classes")
-    repeats = found.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vx_id")).distinct()
-    kept = docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__vx_id")), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    found = materialise(classes(docs, text, threshold), "simhash-classes")
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vx_id"))
+        return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__vx_id")), "left_anti")
+    first = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("__vx_id"), F.col("m.fp").alias("__vx_fp"))
+    rows = fingerprints(docs, text, row=True)
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["__vx_id"]) & (rows["fp"] == first["__vx_fp"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "fp"]).select("__vx_row.*")
