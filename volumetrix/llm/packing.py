@@ -3,9 +3,10 @@
 A sum-of-squares packer keeps N(g), the number of open bins with gap g, and puts each piece where
 the sum of N(g)^2 becomes smallest. Pieces of full length are sequences of their own. The rest is
 dealt by a hash into shards of about ``SHARD_ROWS`` rows, each packed by itself, so that no task
-grows with the input; a shard leaves few bins unfilled, which at its size is a small share.
+grows with the input; a shard leaves few bins unfilled, which at its size is a small share. Strings
+of special tokens inside a text are ordinary text.
 
-Edge cases: a null or empty text is its end id alone. Repeated rows are packed each. A null doc_id
+Edge cases: a null or empty text is its end id alone. Repeated rows are packed each, and spread over shards. A null doc_id
 is packed like any other. An empty table gives no sequences. Other columns are never read.
 """
 
@@ -81,7 +82,8 @@ def sum_of_squares(lengths: list[int], size: int) -> tuple[np.ndarray, np.ndarra
 def pack(parts: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Adds sequence_id and offset. ``parts``: materialised pieces."""
     shards = max(1, -(-parts.count() // shard_rows))
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
+    # the place of a row in the written pieces spreads rows that repeat in full, and is the same when a task is run again
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
