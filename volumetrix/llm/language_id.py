@@ -9,7 +9,7 @@ Fitting reads at most about ``TRAIN_DOCS`` labelled texts per language, chosen b
 most ``MAX_LANGS`` languages, which bounds what is collected and broadcast (vocabulary x languages);
 prediction reads every whole text. Distinct words of a batch are scored once.
 
-Edge cases: a text that is null or has no letters is ``und`` with score 0; so is every text if no
+Edge cases: a text that is null or has no letters (number signs like ² are none) is ``und`` with score 0; so is every text if no
 labelled text has a word. Ties go to the first language in code point order. Repeated rows are
 predicted each. Other columns are never read.
 """
@@ -140,7 +140,7 @@ class Model:
             return [(UNKNOWN, 0.0)] * len(texts)
         scores, out = self.word_scores(list(order)), []
         for bag in bags:
-            if not bag:
+            if not any(any(map(str.isalpha, w)) for w in bag):
                 out.append((UNKNOWN, 0.0))
                 continue
             at, n = np.fromiter((order[w] for w in bag), np.int64, len(bag)), np.fromiter(bag.values(), float, len(bag))
