@@ -327,6 +327,34 @@ def test_secrets(spark):
     assert any("entropy" in r.spans for r in got.values())
 
 
+def test_secrets_recall_per_alphabet(spark):
+    """Random keys in whole texts: per alphabet and length at least 96 of 100 with a letter and a digit are found."""
+    rng = random.Random(17)
+    up, low, ten = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"lower": low + ten, "upper": up + ten, "base32": up + "234567", "hex": ten + "ABCDEF", "base62": up + low + ten, "base64": up + low + ten + "+/", "url": up + low + ten + "-_"}
+    keys = []
+    for name, chars in alphabets.items():
+        for n in (20, 24, 32, 40):
+            while sum(k[:2] == (name, n) for k in keys) < 100:
+                key = "".join(rng.choice(chars) for _ in range(n))
+                if {*key} & {*ten} and {*key} - {*ten}:
+                    keys.append((name, n, key))
+    found = {r.doc_id: r.spans for r in secret_scan.scan_secrets(frame(spark, [f"the key {k} was here" for *_, k in keys])).collect()}
+    missed = Counter(k[:2] for i, k in enumerate(keys) if not any(x.endswith(f":8:{8 + k[1]}") for x in found[i].split(",")))
+    assert all(n <= 4 for n in missed.values()), missed
+
+
+def test_secrets_beside_placeholders(spark):
+    """A placeholder hides no key beside it, and words, paths and placeholders are no keys."""
+    key, small = "Zx9Kq2Lm7Rt4Wv8Yp3Nc6Bd1", "i2iiaannkksum8nlmytbx0kj"
+    texts = [f"example/{key}", f"{key}_xxxx", f"0123456789/{small}", f"see {small} here", "your-example-key-goes-here-1", "sk_live_xxxxxxxxxxxxxxxxxxxxxxxx1", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+             "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "Src/Main/Test2/Src/Main/Test3", "id/123e4567-e89b-12d3-a456-426614174000"]
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(frame(spark, texts)).collect()}
+    assert got[0].startswith("entropy_base64:0:") and got[1].startswith("entropy_base64:0:")
+    assert got[2].split(",")[0] in ("entropy_base64:0:35", "entropy_lower:11:35") and got[3] == "entropy_lower:4:28"
+    assert [got[k] for k in range(4, len(texts))] == [""] * 7
+
+
 # packing and token counts
 
 

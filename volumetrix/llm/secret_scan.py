@@ -5,6 +5,8 @@ character class whose Shannon entropy, over some window of ``WINDOW`` characters
 threshold. The window slides: one count goes up and one down per step, and the sum of c log2 c with
 it, so a candidate costs its length times the alphabet and no window is counted anew. Candidates that
 an allow-list matches (UUIDs, paths, placeholders, plain words) add nothing; base spans always stay.
+The narrow classes have the lower thresholds of smaller alphabets and report only what lies in no span
+of another kind, so a string is not reported once per alphabet.
 
 Positions are code points. They come from the lengths of the parts between matches (the text split
 by the same pattern), so no text is scanned per match.
@@ -29,13 +31,26 @@ BASE: dict[str, tuple[str, int, int]] = {
 #: Classes of candidates: pattern, alphabet, least entropy in bits over a window. A class needs letters and digits both.
 CLASSES: dict[str, tuple[str, str, float]] = {
     "entropy_base64": ("[A-Za-z0-9+/_-]{20,}={0,2}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 3.9),
-    "entropy_hex": ("(?i)(?<![0-9a-z])[0-9a-f]{20,}(?![0-9a-z])", "0123456789abcdefABCDEF", 3.2),
+    "entropy_hex": ("(?i)(?<![0-9a-z])[0-9a-f]{20,}(?![0-9a-z])", "0123456789abcdefABCDEF", 2.9),
 }
-#: Candidates that are never secrets: no digit or no letter, UUIDs, one repeated unit, paths of words, examples.
+_MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Classes of smaller alphabets, or of strings known to use both cases, in the same form. Like entropy_hex, each threshold is
+#: about the 1 % quantile of one window of random characters: 16, 36, 32 (base32, the smaller of the upper-case ones) and 62 symbols.
+NARROW: dict[str, tuple[str, str, float]] = {
+    "entropy_lower": ("(?<![A-Za-z0-9])[a-z0-9]{20,}(?![A-Za-z0-9])", "abcdefghijklmnopqrstuvwxyz0123456789", 3.4),
+    "entropy_upper": ("(?<![A-Za-z0-9])[A-Z0-9]{20,}(?![A-Za-z0-9])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.33),
+    "entropy_mixed": ("(?<![A-Za-z0-9+/_-])" + "".join(f"(?=[A-Za-z0-9+/_-]*[{x}])" for x in ("a-z", "A-Z", "0-9")) + "[A-Za-z0-9+/_-]{20,}={0,2}", _MIXED + "=", 3.62),
+}
+#: Paths of words in both cases; of mixed candidates only, whose threshold such words often reach.
+MIXED_PATH = "(?i)^(?:/?[a-z]+[0-9]{0,4}[/_-])+[a-z]*[0-9]{0,4}$"
+_PLACEHOLDER = "(?:example|placeholder|changeme|xxxx|0123456789|abcdefgh)"
+#: Candidates that are never secrets: no digit or no letter, UUIDs, placeholders (up to three, with less than a window
+#: before, between and after them, so that no key stands beside), the public AWS example, paths of words, one repeated unit.
 ALLOWED = (
     "^[^0-9]*$", "^[^A-Za-z]*$",
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh",
+    f"(?i)^.{{0,19}}{_PLACEHOLDER}(?:.{{0,19}}{_PLACEHOLDER}){{0,2}}.{{0,19}}$",
+    "^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
     "^(?:/?[a-z]+[0-9]{0,4}[/_-])+[a-z]*[0-9]{0,4}$",
     "^(.{1,8})\\1+$",
 )
@@ -98,20 +113,25 @@ def allowed(value: Column) -> Column:
     return out
 
 
-def secret_like(alphabet: str, least: float):
-    return lambda s: ~allowed(s["value"]) & (peak_entropy(s["value"], alphabet) >= least)
+def secret_like(alphabet: str, least: float, words: str | None = None):
+    """``words``: one more pattern of the allow-list."""
+    return lambda s: ~(allowed(s["value"]) if words is None else allowed(s["value"]) | s["value"].rlike(words)) & (peak_entropy(s["value"], alphabet) >= least)
 
 
 def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, base and extra: arrays of struct(start, rank, kind, end), sorted."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    kinds = list(BASE) + list(CLASSES)
+    kinds = list(BASE) + list(CLASSES) + list(NARROW)
     as_span = lambda kind: lambda s: F.struct(s["start"].alias("start"), F.lit(kinds.index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"))
     base = F.array_sort(F.concat(*[F.transform(matches(whole, *BASE[k]), as_span(k)) for k in BASE]))
     hot = [F.transform(F.filter(matches(whole, CLASSES[k][0]), secret_like(*CLASSES[k][1:])), as_span(k)) for k in CLASSES]
-    found = docs.select("doc_id", base.alias("base"), F.array_sort(F.concat(*hot)).alias("found"))
-    apart = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
-    return found.select("doc_id", "base", apart.alias("extra"))
+    small = [F.transform(F.filter(matches(whole, NARROW[k][0]), secret_like(*NARROW[k][1:], MIXED_PATH if k == "entropy_mixed" else None)), as_span(k)) for k in NARROW]
+    found = docs.select("doc_id", base.alias("base"), F.array_sort(F.concat(*hot)).alias("found"), F.array_sort(F.concat(*small)).alias("small"))
+    inside = lambda x, c: F.exists(c, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
+    again = lambda x: F.exists("small", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]) & (b["rank"] < x["rank"]))
+    apart = F.filter("found", lambda x: ~inside(x, "base"))
+    narrow = F.filter("small", lambda x: ~(inside(x, "base") | inside(x, "found") | again(x)))
+    return found.select("doc_id", "base", F.concat(apart, narrow).alias("extra"))
 
 
 def written(spans: Column) -> Column:
