@@ -227,6 +227,17 @@ def test_licenses(spark):
     assert all(re.search(license_scan.CUES, s[ids[0]]) for _, ids in license_scan.RULES)
 
 
+def test_licenses_of_both_readings(spark):
+    """Wrapped and unwrapped notices in one text are all found, and no rule sees a sentence twice."""
+    s = license_scan.SENTENCES
+    cc = s["cc-by-sa-long"].replace("Commons ", "Commons\n")
+    bsd = [s["bsd-grant"], s["bsd-source"], s["bsd-binary"], s["bsd-endorse"].replace("used to ", "used to\r\n")]
+    texts = [cc + "\n\nMIT License\nCopyright (c) 2020 X", "MIT License\nCopyright (c) 2020 X\n\n" + cc, "\n\n".join([cc, s["cc0-line"].replace("public ", "public\n"), "MIT License\nCopyright X"]), "\n\n".join(bsd) + "\n\nMIT License\nby X", s["mit-line-2"].replace("the ", "the\n")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert [set(got[k].licenses.split(",")) for k in range(5)] == [{"MIT", "CC-BY-SA-4.0"}, {"MIT", "CC-BY-SA-4.0"}, {"MIT", "CC0-1.0", "CC-BY-SA-4.0"}, {"MIT", "BSD-3-Clause"}, {"MIT"}]
+    assert (got[0].sentence_ids, got[0].n_sentences) == ("cc-by-sa-long,mit-title-2", 3)
+
+
 # exact dedup
 
 

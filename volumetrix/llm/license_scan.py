@@ -5,7 +5,9 @@ digits as one space) and mapped to the identifier of a known licence sentence, o
 of identifiers is matched against ordered rules, the most specific first: a rule's identifiers must
 follow in order with at most ``GAP`` unknown sentences between two of them; what a rule has matched
 is taken out before the next one looks. Texts are read by lines and with wrapped lines joined; the
-reading with more known sentences counts, by lines if equal.
+reading with more known sentences counts, by lines if equal. Where the other reading knows sentences
+besides, they are put in their places: a joined sentence that is known counts as one, and a joined
+sentence that is not is read by lines if it has a known line.
 
 Edge cases: a null or empty text has one empty sentence and no licence. Repeated rows are scanned
 each. Other columns are never read.
@@ -104,6 +106,9 @@ BREAK = r"(?<=[.!?])[ \t]+|[\r\n]+"
 #: A line's end inside a paragraph, for texts that are wrapped.
 WRAP = r"(?<![\r\n])\r?\n(?![\r\n])"
 
+#: Where a text breaks with wrapped lines joined: a blank or wrap after . ! or ?, and line ends that are no wrap.
+PARAGRAPH_BREAK = r"(?<=[.!?])(?:[ \t]|(?<![\r\n])\r?\n(?![\r\n]))+|(?<![\r\n])(?!\r?\n(?![\r\n]))[\r\n]+"
+
 
 def normalised(sentence: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
@@ -134,6 +139,13 @@ def sentence_ids(text: Column) -> Column:
     return F.transform(at, lambda k: F.when(k > 0, F.element_at(ids, k.cast("int"))).otherwise(F.lit(UNKNOWN)))
 
 
+def both_readings(text: Column, by_lines: Column) -> Column:
+    """Identifiers of the joined sentences, and of the lines of those that are unknown and have a known line (of all unknown ones if ``by_lines``)."""
+    known = lambda c: F.exists(c, lambda x: x != UNKNOWN)
+    pieces = F.transform(F.split(text, PARAGRAPH_BREAK), lambda p: F.struct(sentence_ids(F.regexp_replace(p, WRAP, " ")).alias("joined"), sentence_ids(p).alias("lines")))
+    return F.flatten(F.transform(pieces, lambda p: F.when(~known(p["joined"]) & (by_lines | known(p["lines"])), p["lines"]).otherwise(p["joined"])))
+
+
 def rule_pattern(ids: tuple[str, ...], gap: int) -> str:
     return "(?<= )" + (r" (?:\? ){0,%d}" % gap).join(ids) + "(?= )"
 
@@ -142,9 +154,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", gap: int = GAP) -> DataFr
     """doc_id, n_sentences (of texts with a cue, else 0), sentence_ids, licenses (in rule order, joined by commas), license (the first)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
-    read = docs.select("doc_id", F.when(whole.rlike(CUES), sentence_ids(whole)).otherwise(none).alias("lines"), F.when(whole.rlike(CUES), sentence_ids(F.regexp_replace(whole, WRAP, " "))).otherwise(none).alias("joined"))
+    read = docs.select("doc_id", whole.alias("whole"), F.when(whole.rlike(CUES), sentence_ids(whole)).otherwise(none).alias("lines"), F.when(whole.rlike(CUES), sentence_ids(F.regexp_replace(whole, WRAP, " "))).otherwise(none).alias("joined"))
     known = lambda c: F.size(F.filter(c, lambda x: x != UNKNOWN))
-    found = read.select("doc_id", F.when(known("joined") > known("lines"), F.col("joined")).otherwise(F.col("lines")).alias("ids"))
+    more = known("joined") > known("lines")
+    names_of = lambda c: F.filter(c, lambda x: x != UNKNOWN)
+    differ = (known("joined") > 0) & (known("lines") > 0) & (names_of("joined") != names_of("lines"))
+    found = read.select("doc_id", F.when(more, F.col("joined")).otherwise(F.col("lines")).alias("one"), F.when(differ, both_readings(F.col("whole"), ~more)).alias("both"))
+    found = found.select("doc_id", F.when(F.col("both").isNotNull() & (known("both") > known("one")), F.col("both")).otherwise(F.col("one")).alias("ids"))
     found = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")).alias("line"), F.array_join(F.filter("ids", lambda x: x != UNKNOWN), ",").alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rule_pattern(ids, gap)).alias("pattern")) for name, ids in RULES])
     start = F.struct(F.col("line").alias("line"), F.array().cast("array<string>").alias("names"))
