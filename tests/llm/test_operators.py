@@ -238,6 +238,18 @@ def test_licenses_of_both_readings(spark):
     assert (got[0].sentence_ids, got[0].n_sentences) == ("cc-by-sa-long,mit-title-2", 3)
 
 
+def test_licenses_wrapped_at_any_blank(spark):
+    """Each known sentence alone in its text, whole, wrapped at every blank and with blanks doubled, is known."""
+    first = {name: re.split(license_scan.BREAK, x)[0] for name, x in license_scan.SENTENCES.items()}
+    cases = [(n, v) for n, x in first.items() for v in [x, x.replace(" ", "  "), *(x[: m.start()] + e + x[m.end() :] for m in re.finditer(" ", x) for e in ("\n", "\r\n"))]]
+    got = {r.doc_id: r.sentence_ids for r in license_scan.scan_licenses(frame(spark, [v for _, v in cases])).collect()}
+    own = lambda n: license_scan.table()[license_scan.normalised_text(first[n])]
+    # a wrap can leave a shorter known sentence of the same licence alone on its line
+    shorter = lambda n, x: n.split("-")[0] in ("mit", "apache") and x in [k for k in first if k.split("-")[0] == n.split("-")[0]]
+    wrong = [(cases[k], got[k]) for k in got if got[k] != own(cases[k][0]) and not shorter(cases[k][0], got[k])]
+    assert not wrong, wrong[:5]
+
+
 # exact dedup
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 GAP = 2
 UNKNOWN = "?"
-#: Only texts that hold one of these are cut into sentences; every rule's first sentence holds one.
-CUES = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public domain|all rights reserved"
+#: Only texts that hold one of these are cut into sentences; every known sentence holds one, wrapped or not.
+CUES = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public[^a-z0-9]+domain|all[^a-z0-9]+rights[^a-z0-9]+reserved|copy[^a-z0-9]+of[^a-z0-9]+the[^a-z0-9]+mpl"
 
 #: Sentences of public licence texts and notices, by identifier.
 SENTENCES: dict[str, str] = {
