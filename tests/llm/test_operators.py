@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -200,8 +201,9 @@ def brute_lines(rows, min_chars, min_docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("repeat", [False, True])
-def test_line_dedup(spark, repeat):
+@pytest.mark.parametrize("repeat, broadcast", [(False, True), (True, True), (True, False)])
+def test_line_dedup(spark, monkeypatch, repeat, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", line_dedup.BROADCAST_LINES if broadcast else -1)
     texts = corpus()
     ids = list(range(len(texts)))
     if repeat:
@@ -212,6 +214,19 @@ def test_line_dedup(spark, repeat):
     assert any(r[2] for r in brute_lines(list(zip(ids, texts)), 40, 5))
 
 
+def test_line_dedup_of_many_lost_lines(spark):
+    """Texts that lose nearly all of their many lines, in time that follows their length; one id with two texts."""
+    lines = [f"a shared line of more than forty characters {k:06d}" for k in range(20_000)]
+    texts = ["\n".join(["own line of document", *lines[k:], "x" * k]) for k in range(6)] + ["\n".join(lines[:9]), "\n".join(lines[5:7])]
+    ids = [0, 1, 2, 3, 4, 5, 5, None]
+    began = time.perf_counter()
+    got = line_dedup.dedup_lines(frame(spark, texts, ids)).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert time.perf_counter() - began < 60
+    key = lambda r: (r[0] is None, r)
+    rows = [(-1 if i is None else i, t) for i, t in zip(ids, texts)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == sorted(brute_lines(rows, 40, 5), key=key)
+
+
 # licences
 
 

@@ -1,12 +1,15 @@
 """Line dedup in DataFrame operations only.
 
-Lines are exploded as 128-bit hashes of their keys, hashes found in many documents are counted with
-a map-side combine, and the texts are put together again from their own lines in order, so no line
-of text is ever shuffled on its own.
+Lines are exploded with their positions as 128-bit hashes of their keys and written once as narrow
+rows. Distinct documents per hash are counted (copies of a line within a document collapse first, a
+hot line is combined before the shuffle), lines over the threshold give the positions that each
+document loses, and the texts of those documents are put together again from the positions that
+stay. Texts move only if the positions are too many to broadcast, and then past the sort buffers.
 
 Edge cases: a null or empty text is one empty line. Documents are told apart by doc_id: rows that
 repeat a doc_id count as one document, and rows with a null doc_id as one that never holds the
-stay-behind copy unless it is the only one. Other columns pass through untouched.
+stay-behind copy unless it is the only one. A text of any length costs its lines once, however many
+it loses; its positions are one array. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -14,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialise
+from .common import BROADCAST_ROWS, join_checked, materialise
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Lost lines up to which their positions count as small enough to broadcast (with ``BROADCAST_ROWS`` documents).
+BROADCAST_LINES = 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -35,38 +40,52 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h (struct a, b), last: hashes of lines in ``min_docs`` documents or more, and the largest id that holds each."""
-    rows = _hashes(docs, min_chars)
-    # documents, not rows, count; two rows of one document are rare, so ids are only counted apart for hashes that pass by rows
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
-    return materialise(often, "lines-often")
+def text_hash() -> Column:
+    """Tells rows with one doc_id and different texts apart; equal rows lose equal lines."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    hashed = line_hashes(lines_of(F.col("text")), min_chars)
-    return docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.filter(hashed, lambda h: h.isNotNull()))).alias("h"))
+def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """id, t (hash of the text), pos, a, b: every line whose key is long enough."""
+    rows = docs.select(F.col("doc_id").alias("id"), text_hash().alias("t"), F.posexplode(line_hashes(lines_of(F.col("text")), min_chars)).alias("pos", "h"))
+    return rows.where("h is not null").select("id", "t", "pos", "h.a", "h.b")
+
+
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """a, b, last: hashes of lines in ``min_docs`` documents or more, and the largest id that holds each."""
+    counted = lines.groupBy("a", "b").agg(F.count_distinct(F.struct("id")).alias("n"), F.max("id").alias("last"))
+    return counted.where(F.col("n") >= min_docs).select("a", "b", "last")
+
+
+def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """__vx_id, __vx_t, __vx_lost (positions): one row per document that loses a line."""
+    lines = materialise(long_lines(docs, min_chars), "lines-long")
+    often = materialise(frequent_lines(lines, min_docs), "lines-often")
+    hits = join_checked(lines, often, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    lost = hits.groupBy(F.col("id").alias("__vx_id"), F.col("t").alias("__vx_t")).agg(F.collect_set("pos").alias("__vx_lost"))
+    return materialise(lost, "lines-lost")
+
+
+def _with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """Adds __vx_lost (null: loses nothing)."""
+    rows, lines = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__vx_lost")), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and lines <= BROADCAST_LINES
+    side = F.broadcast(lost) if small else lost.hint("shuffle_hash")  # hashed, so that texts stream past it and are not sorted
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("__vx_id")) & (text_hash() == F.col("__vx_t")), "left")
 
 
 def _marked(docs: DataFrame, min_chars: int, min_docs: int) -> tuple[DataFrame, Column, Column, Column]:
     """The documents with the lines to lose; the shortened text, n_lines and n_dropped as columns over them."""
-    often = frequent_lines(docs, min_chars, min_docs)
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    hits = join_checked(_hashes(docs, min_chars), often, "h")
-    if repeats:
-        hits = materialise(hits.select("id", "h", "last").distinct(), "lines-hits")
-        true = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
-        hits = hits.join(true, "h")
-    lost = hits.where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id").agg(F.collect_set("h").alias("__vx_lost")).withColumnRenamed("id", "__vx_id")
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["__vx_id"]), "left")
-    lines = lines_of(F.col("text"))
-    placed = F.arrays_zip(lines.alias("line"), line_hashes(lines, min_chars).alias("hash"))
-    stay = F.filter(placed, lambda x: ~F.coalesce(F.array_contains(F.col("__vx_lost"), x["hash"]), F.lit(False)))
-    cut = joined.withColumn("__vx_stay", F.when(F.col("__vx_lost").isNotNull(), F.transform(stay, lambda x: x["line"])))
-    n_lines = F.size(lines).cast("long")
-    text = F.when(F.col("__vx_stay").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join("__vx_stay", "\n"))
-    dropped = F.when(F.col("__vx_stay").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("__vx_stay")).cast("long")
-    return cut, text, n_lines, dropped
+    joined = _with_lost(docs, lost_lines(docs, min_chars, min_docs))
+    whole = F.coalesce("text", F.lit(""))
+    n_lines = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    # a one-element array binds lines and positions once for the look-ups
+    lines = F.split(whole, "\n", -1)
+    bound = F.array(F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), n_lines.cast("int") - 1), F.col("__vx_lost")).alias("stay")))
+    shorter = F.get(F.transform(bound, lambda s: F.array_join(F.transform(s["stay"], lambda k: F.get(s["lines"], k)), "\n")), F.lit(0))
+    text = F.when(F.col("__vx_lost").isNull(), whole).otherwise(shorter)
+    dropped = F.when(F.col("__vx_lost").isNull(), F.lit(0)).otherwise(F.size("__vx_lost")).cast("long")
+    return joined, text, n_lines, dropped
 
 
 def _own(docs: DataFrame, text: Column, without: tuple[str, ...] = ()) -> list[Column]:
