@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_checked, materialise
+from .common import join_checked, materialise
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Lost lines up to which their positions count as small enough to broadcast (with ``BROADCAST_ROWS`` documents).
-BROADCAST_LINES = 1_000_000
+#: Documents, and lost lines, up to which their positions are broadcast.
+BROADCAST_DOCS, BROADCAST_LINES = 5_000, 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -69,7 +69,7 @@ def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 def _with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """Adds __vx_lost (null: loses nothing)."""
     rows, lines = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("__vx_lost")), F.lit(0))).first()
-    small = rows <= BROADCAST_ROWS and lines <= BROADCAST_LINES
+    small = rows <= BROADCAST_DOCS and lines <= BROADCAST_LINES
     side = F.broadcast(lost) if small else lost.hint("shuffle_hash")  # hashed, so that texts stream past it and are not sorted
     return docs.join(side, docs["doc_id"].eqNullSafe(F.col("__vx_id")) & (text_hash() == F.col("__vx_t")), "left")
 
