@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from volumetrix.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, packing, quality_rules, secret_scan, simhash_dedup, token_counts
 from volumetrix.llm.token_encoder import WordEncoder, vocabulary_path
@@ -336,13 +337,13 @@ def entropy_peak(s, window=secret_scan.WINDOW):
 
 
 def brute_extra(text, base):
+    """Spans by entropy: hidden by a base span, a narrow one by any of a kind before it too."""
     found = []
-    for rank, (kind, (pattern, _, least)) in enumerate(secret_scan.CLASSES.items(), 3):
-        for m in re.finditer(pattern, text):
-            hit = entropy_peak(m[0]) >= least - 1e-12 and not any(re.search(p, m[0]) for p in secret_scan.ALLOWED)
-            if hit and not any(b[0] <= m.start() and m.end() <= b[3] for b in base):
-                found.append((m.start(), rank, kind, m.end()))
-    return sorted(found)
+    for rank, (kind, (pattern, least)) in enumerate((secret_scan.CLASSES | secret_scan.NARROW).items(), 3):
+        words = (*secret_scan.ALLOWED, *([secret_scan.MIXED_PATH] if kind == "entropy_mixed" else []))
+        found += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if entropy_peak(m[0]) >= least - 1e-12 and not any(re.search(p, m[0]) for p in words)]
+    hides = lambda b, x: b[0] <= x[0] and x[3] <= b[3] and b[1] < (3 if x[1] < 5 else x[1])
+    return sorted(x for x in found if not any(hides(b, x) for b in base + found))
 
 
 def test_secrets(spark):
@@ -393,23 +394,44 @@ def test_secrets_beside_placeholders(spark):
     assert [got[k] for k in range(4, len(texts))] == [""] * 7
 
 
+def test_secrets_in_very_long_candidates_and_many_matches(spark):
+    """Candidates of a megabyte, paths of words among them, and 100,000 matches, in time that follows the length."""
+    rng = random.Random(23)
+    low = "".join(rng.choice("kx") + "0" * (k % 3 == 0) for k in range(600_000))
+    texts = ["a1/" * 350_000, "Ab1/" * 250_000, "x" * 1_000_000 + "1", low, "kx12" * 250_000, " ".join(f"{k:024x}" for k in range(100_000)), " ".join(f"token={k:08d}" for k in range(50_000)), "A1" * 30 + "/" + "".join(rng.choice("ABCDEFabcdef0123456789xyz") for _ in range(1_000_000))]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(frame(spark, texts, parts=4)).collect()}
+    assert time.perf_counter() - began < 120
+    assert [got[k].spans for k in range(5)] == [""] * 5
+    assert got[5].n_hex == 100_000 and got[5].base_spans.endswith(f"hex:{25 * 99_999}:{25 * 99_999 + 24}")
+    assert got[6].n_assign == 50_000 and got[6].spans == got[6].base_spans
+    assert got[7].spans.startswith("entropy_base64:0:")
+
+
 # packing and token counts
 
 
+def reference_ids(texts):
+    """Ids by a tokenizer of its own, just as it is loaded."""
+    return [x.ids for x in Tokenizer.from_file(vocabulary_path()).encode_batch(list(texts), add_special_tokens=False)]
+
+
 def test_encoder_matches_the_tokenizer():
+    """Every character that takes the short way, and others, in several settings; strings of added tokens."""
     enc = WordEncoder(vocabulary_path(), entries=50)
-    texts = [t or "" for t in corpus(n=60)[:-1]] + ["don't İstanbul ΣΑΣ \x1c 日本 ''s 'll", " a  b\n\nc ", "we'LL '' x²½ _a_ …‘s", "<|endoftext|> a", "é", "ǅ Ǆ ß ẞ"]
-    want = [x.ids for x in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in enc.encode(texts)] == want
+    texts = [t or "" for t in corpus(n=60)[:-1]] + ["don't İstanbul ΣΑΣ \x1c 日本 ''s 'll", " a  b\n\nc ", "we'LL '' x²½ _a_ …‘s", "<|endoftext|> a", "a <|endoftext|> b", "x<|startoftext|>Y <|ENDOFTEXT|> <|endoftext|", "é", "ǅ Ǆ ß ẞ", "x" * 5000]
+    chars = [chr(c) for c in (*range(1, 0x300), *range(0x1E00, 0x2100)) if not 0x7F <= c <= 0x9F]
+    texts += [t for c in chars for t in (c, f"a{c}b", f"1{c}2", f"'{c}'s", f"{c}{c} {c}.")]
+    assert sum(map(enc.is_plain, texts)) > 2000
+    assert [x.tolist() for x in enc.encode(texts)] == reference_ids(texts)
 
 
 def test_packing(spark):
-    texts = corpus(n=200) + ["one two three " * 3000]
+    texts = corpus(n=200) + ["one two three " * 3000, "a <|endoftext|> b Ɓc"]
     rows = packing.pack_documents(frame(spark, texts), shard_rows=60).collect()
-    enc = WordEncoder(vocabulary_path())
     want = {}
-    for k, t in enumerate(texts):
-        ids = enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+    for k, ids in enumerate(reference_ids(t or "" for t in texts)):
+        ids = ids + [0]
         for p, at in enumerate(range(0, len(ids), 2048)):
             part = ids[at : at + 2048]
             want[k, p] = (at, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)))
@@ -454,9 +476,8 @@ def test_sum_of_squares_rule():
 
 
 def test_token_counts(spark):
-    texts = corpus(n=150)
-    enc = WordEncoder(vocabulary_path())
-    n = [len(enc.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    texts = corpus(n=150) + ["a <|endoftext|> b Ɓc"]
+    n = [len(ids) for ids in reference_ids(t or "" for t in texts)]
     sums = token_counts.token_counts(frame(spark, texts))
     rows = {r.length: r for r in sums.collect()}
     assert set(rows) == set(n)

@@ -7,11 +7,10 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from test_operators import brute_components, brute_fill, brute_fingerprint, brute_lines, brute_quality, shuffled
+from test_operators import brute_components, brute_fill, brute_fingerprint, brute_lines, brute_quality, reference_ids, shuffled
 
 import corpus_pipeline
 from volumetrix.llm import mixing
-from volumetrix.llm.token_encoder import WordEncoder, vocabulary_path
 
 #: Columns of documents, and some whose names operators use inside.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, KEPT int, n_lines int, epochs int, `at.b` string"
@@ -86,8 +85,7 @@ def test_run(spark, case):
     """Whole run: the taken documents are prefixes of each source's order within its budget, packed whole."""
     at, rows, bad = case
     left = brute_first_three(rows, bad)[2]
-    enc = WordEncoder(vocabulary_path())
-    ids = {i: [*x.ids, 0] for i, x in zip(left, enc.tokenizer.encode_batch(list(left.values()), add_special_tokens=False))}
+    ids = {i: [*x, 0] for i, x in zip(left, reference_ids(left.values()))}
     out = corpus_pipeline.run(spark, at).collect()
     taken = {r.doc_id for r in out}
 

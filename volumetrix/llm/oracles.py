@@ -138,7 +138,8 @@ FROM d LEFT JOIN {at} USING (r)
 def secret_scan_sql() -> str:
     """Spans by running sums over the parts between matches; every window's entropy counted anew."""
     ss = secret_scan
-    kinds = list(ss.BASE) + list(ss.CLASSES)
+    kinds = list(ss.KINDS)
+    classes = ss.CLASSES | ss.NARROW
 
     def found(kind: str, pattern: str, group: int, least: int) -> str:
         p = quoted(pattern)
@@ -150,14 +151,18 @@ SELECT r, {kinds.index(kind)} AS rank, {quoted(kind)} AS kind, value, first, fir
   ) WINDOW o AS (PARTITION BY r ORDER BY pos)
 ) WHERE length(part) >= {least}"""
 
-    # a hex candidate has no letter or digit beside it: it is a whole run of letters and digits
-    patterns = {"entropy_base64": ss.CLASSES["entropy_base64"][0], "entropy_hex": "[0-9A-Za-z]+"}
-    whole = {"entropy_base64": "true", "entropy_hex": "regexp_full_match(value, '[0-9a-fA-F]{20,}')"}
+    # candidates with conditions on what stands beside them are whole runs of those characters
+    runs, mixed = "[0-9A-Za-z]+", "[A-Za-z0-9+/_-]+={0,2}"
+    patterns = {"entropy_base64": classes["entropy_base64"][0], "entropy_hex": runs, "entropy_lower": runs, "entropy_upper": runs, "entropy_mixed": mixed}
+    whole = {
+        "entropy_base64": "true", "entropy_hex": "regexp_full_match(value, '[0-9a-fA-F]{20,}')", "entropy_lower": "regexp_full_match(value, '[0-9a-z]{20,}')", "entropy_upper": "regexp_full_match(value, '[0-9A-Z]{20,}')",
+        "entropy_mixed": f"length(rtrim(value, '=')) >= 20 AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, {quoted(ss.MIXED_PATH.replace('++', '+'))})",
+    }
     candidates = " UNION ALL ".join(f"SELECT * FROM ({found(k, p, 0, 20)}) WHERE {whole[k]}" for k, p in patterns.items())
-    plain = [x for x in ss.ALLOWED if "\\1" not in x]
+    plain = [x.replace("++", "+") for x in ss.ALLOWED if "\\1" not in x]
     unit = r"len(list_filter(range(1, 9), lambda u: length(value) % u = 0 AND length(value) > u AND value = repeat(left(value, u), length(value) // u))) > 0"
     allowed = " OR ".join([f"regexp_matches(value, {quoted(x)})" for x in plain] + [unit])
-    least = "CASE kind " + " ".join(f"WHEN {quoted(k)} THEN {bits}" for k, (_, _, bits) in ss.CLASSES.items()) + " END"
+    least = "CASE kind " + " ".join(f"WHEN {quoted(k)} THEN {bits}" for k, (_, bits) in classes.items()) + " END"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({" UNION ALL ".join(found(k, *ss.BASE[k]) for k in ss.BASE)}),
@@ -166,14 +171,17 @@ char AS (SELECT c, o, unnest(string_split(substring(value, o + 1, {ss.WINDOW}),
 tally AS (SELECT c, o, ch, count(*) AS n FROM char GROUP BY ALL),
 entropy AS (SELECT c, o, -sum(n / {ss.WINDOW}.0::DOUBLE * log2(n / {ss.WINDOW}.0::DOUBLE)) AS bits FROM tally GROUP BY ALL),
 peak AS (SELECT c, max(bits) AS bits FROM entropy GROUP BY c),
-extra AS (
-  SELECT r, rank, kind, value, first, last FROM candidate x JOIN peak USING (c)
-  WHERE bits >= {least} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.first <= x.first AND x.last <= b.last)
+hot AS (SELECT r, rank, kind, first, last FROM candidate JOIN peak USING (c) WHERE bits >= {least}),
+every AS (SELECT r, rank, kind, first, last FROM base UNION ALL SELECT * FROM hot),
+seen AS (
+  SELECT * FROM every x WHERE rank < {len(ss.BASE)} OR NOT EXISTS (
+    SELECT 1 FROM every y WHERE y.r = x.r AND y.first <= x.first AND x.last <= y.last AND y.rank < CASE WHEN x.rank < {len(ss.BASE) + len(ss.CLASSES)} THEN {len(ss.BASE)} ELSE x.rank END
+  )
 ),
 written AS (
-  SELECT r, string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) AS spans, string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) FILTER (WHERE is_base) AS base_spans,
+  SELECT r, string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) AS spans, string_agg(kind || ':' || first || ':' || last, ',' ORDER BY first, rank) FILTER (WHERE rank < {len(ss.BASE)}) AS base_spans,
          {", ".join(f"count(*) FILTER (WHERE kind = {quoted(k)}) AS n_{k}" for k in ss.BASE)}
-  FROM (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM extra) GROUP BY r
+  FROM seen GROUP BY r
 )
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ss.BASE)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN written USING (r)

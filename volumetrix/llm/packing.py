@@ -3,8 +3,8 @@
 A sum-of-squares packer keeps N(g), the number of open bins with gap g, and puts each piece where
 the sum of N(g)^2 becomes smallest. Pieces of full length are sequences of their own. The rest is
 dealt by a hash into shards of about ``SHARD_ROWS`` rows, each packed by itself, so that no task
-grows with the input; a shard leaves few bins unfilled, which at its size is a small share. Strings
-of special tokens inside a text are ordinary text.
+grows with the input; a shard leaves few bins unfilled, which at its size is a small share. Ids are
+those the tokenizer gives, strings of its added tokens included.
 
 Edge cases: a null or empty text is its end id alone. Repeated rows are packed each, and spread over shards. A null doc_id
 is packed like any other. An empty table gives no sequences. Other columns are never read.

@@ -2,7 +2,8 @@
 
 The vocabulary's words never hold white space and are encoded one by one, so the ids of a text are
 the ids of the chunks between its white space, and those the ids of their words. Texts of plain
-Latin characters take that way; any other text goes through the tokenizer as a whole.
+Latin characters take that way; any other text, and one that holds the string of an added token
+(which the tokenizer gives its own id), goes through the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters that normalisation leaves alone but for their case, and whose white space is plain.
-PLAIN = "[\t\n\r\x20-\x7e¡-įı-ɏ–—‘’“”…€]*"
+#: Last letter of the alphabets that ``WORDS`` spells out.
+LAST_LETTER = 0x24F
+#: Characters that normalisation leaves alone but for their case, whose lower case ``WORDS`` knows, and whose white space is plain.
+PLAIN = "[\t\n\r" + "".join(re.escape(c) for c in map(chr, [*range(0x20, 0x7F), *range(0xA1, LAST_LETTER + 1)]) if len(c.lower()) == 1 and ord(c.lower()) <= LAST_LETTER) + "–—‘’“”…€]*"
 #: The vocabulary's words, written for lower-case plain characters.
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+"
 VOCABULARY = "word_bpe_49k.json"
-CACHE_ENTRIES = 350_000
+#: Entries of each cache; the half not used lately is given up when it is full.
+CACHE_ENTRIES = 120_000
 #: Characters of text that are cut at once.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -50,20 +54,39 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Cache:
+    """Two generations of entries: a full young one becomes the old one, and what the old one is asked for moves back."""
+
+    def __init__(self, entries: int):
+        self.half, self.young, self.old = max(1, entries // 2), {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class WordEncoder:
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.bpe = self.tokenizer.model.tokenize
         self.alphabet = {ord(chr(b)): c for b, c in byte_alphabet().items()}
         self.cut = re.compile(WORDS).findall
         self.plain = re.compile(PLAIN).fullmatch
-        self.entries = entries
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Cache(entries), Cache(entries)
+
+    def is_plain(self, text: str) -> bool:
+        return self.plain(text) is not None and not any(x in text for x in self.added)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -74,9 +97,8 @@ class WordEncoder:
         if ids is None:
             found = self.bpe(word.encode().decode("latin-1").translate(self.alphabet))
             ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            if len(self.words) >= self.entries:
-                self.words.clear()
-            self.words[word] = ids
+            if len(word) <= 64:
+                self.words.put(word, ids)
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
@@ -96,7 +118,7 @@ class WordEncoder:
 
     def _block(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Distinct chunks of the block are looked up once; Arrow puts their ids back in place."""
-        plain = [self.plain(t) is not None for t in texts]
+        plain = [self.is_plain(t) for t in texts]
         column = pa.array([t if p else "" for t, p in zip(texts, plain)], pa.large_string())
         lists = pc.ascii_split_whitespace(pc.utf8_lower(column))
         coded = lists.flatten().dictionary_encode()
@@ -105,10 +127,8 @@ class WordEncoder:
             ids = known.get(chunk)
             if ids is None:
                 ids = self._chunk(chunk)
-                if len(known) >= self.entries:
-                    known.clear()
                 if len(chunk) <= 64:
-                    known[chunk] = ids
+                    known.put(chunk, ids)
             packed.append(ids)
         placed = pa.array(packed, pa.large_binary()).take(coded.indices)
         data = placed.buffers()[2]
