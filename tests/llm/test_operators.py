@@ -559,11 +559,30 @@ def test_links_lose_nothing(spark):
     distinct = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
     want = brute_components(fps)
     for rows in (50_000, 2):
-        roots = {r.node: r.root for r in simhash_dedup.connected(simhash_dedup.links(distinct, group_rows=rows)).collect()}
+        met = simhash_dedup.met(distinct, group_rows=rows)
+        n = simhash_dedup.figures(met)
+        assert n["links"] <= n["survivors"] <= 0.1 * n["pairs"] + 2 * n["links"] and (rows == 2 or n["links"] > 0)
+        roots = {r.node: r.root for r in simhash_dedup.connected(simhash_dedup.links(met)).collect()}
         mine = [roots.get(x, x) for x in signed]
         assert len({(a, b) for a, b in zip(mine, want)}) == len(set(mine)) == len(set(want))
 
 
+@pytest.mark.parametrize("n", [50, 400, 1500])
+def test_pivot_rows_discard(spark, n):
+    """Fingerprints that share two blocks all meet; the rows discard nearly all pairs, and links are those of brute force."""
+    rng = random.Random(n)
+    low = rng.getrandbits(21)
+    fps = {low | rng.getrandbits(43) << 21 for _ in range(n)}
+    fps |= {x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for x in sorted(fps)[: n // 5]}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    met = simhash_dedup.met(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(2))
+    got = simhash_dedup.figures(met)
+    assert got["pairs"] > 5 * len(fps) and got["pairs"] - got["survivors"] > 0.95 * (got["pairs"] - got["links"])
+    roots = {r.node: r.root for r in simhash_dedup.connected(simhash_dedup.links(met)).collect()}
+    mine, want = [roots.get(x, x) for x in signed], brute_components([x % (1 << 64) for x in signed])
+    assert len({*zip(mine, want)}) == len({*mine}) == len({*want}) < len(fps)
+
+
 # empty tables
 
 

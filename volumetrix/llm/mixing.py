@@ -7,11 +7,13 @@ ancestor, since the subtree's own supply caps it there.
 
 A leaf's budget is some whole epochs and a prefix of one more. Each epoch orders the leaf's
 documents by a seeded hash; the prefix takes documents while their tokens fit. Prefixes are found
-by token sums of hash ranges and then inside the one range that holds the end, so a leaf with a
-third of all rows is never gathered.
+in rounds: each sums the tokens of 64 hash ranges per leaf and goes on inside the one range that
+holds the end, until that range holds few rows. So a task sees at most 64 sums, or ``RANGE_ROWS``
+rows, of a leaf, however large the leaf.
 
 Edge cases: a null lang or source is its own leaf. Null and empty texts have one token (their end).
-Rows that share a doc_id share their hash and are taken together or not at all. A child without
+Rows that share a doc_id, or have none, share their hash, are summed before they meet, and are taken
+together or not at all. A child without
 weight gets nothing. An empty table gives no rows. Clashing column names pass through untouched.
 """
 
@@ -27,7 +29,8 @@ from .common import join_checked, materialise
 from .token_counts import token_lengths
 
 LEVELS = ("__vx_domain", "__vx_lang", "__vx_source")
-RANGE_BITS = 12
+#: Bits of the hash that a round looks at, rows of a leaf's open range that end the rounds, and bits of the hash.
+ROUND_BITS, RANGE_ROWS, HASH_BITS = 6, 500, 63
 SEED = 17
 DOMAINS = ("web", "reference", "forum", "code")
 DOMAIN_WEIGHTS = {"web": 0.4, "reference": 0.3, "forum": 0.2, "code": 0.1}
@@ -108,20 +111,40 @@ def plan(measured: DataFrame, budget_share: float, max_epochs: int, seed: int =
     shares = leaf_budgets(leaves, int(total * budget_share), max_epochs, weights)
     shares = materialise(shares.withColumn("whole", F.floor(F.col("share") / F.col("tokens"))).withColumn("rest", F.pmod(F.col("share"), F.col("tokens"))), "mix-shares")
     levels = list(LEVELS)
-    ranges = join_checked(measured, shares.where("rest > 0").select(*levels, "whole", "rest"), levels)
-    ranges = ranges.withColumn("h", hash63(seed, F.col("whole"))).withColumn("range", F.shiftright("h", 63 - RANGE_BITS))
-    sums = ranges.groupBy(*levels, "rest", "range").agg(F.sum("n_tokens").alias("t"))
-    order = Window.partitionBy(*levels).orderBy("range")
-    sums = sums.withColumn("upto", F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = materialise(sums.where(F.col("upto") > F.col("rest")).groupBy(*levels).agg(F.min(F.struct("range", (F.col("upto") - F.col("t")).alias("base"))).alias("end")).select(*levels, F.col("end.range").alias("range"), F.col("end.base").alias("base")), "mix-ends")
-    inside = join_checked(ranges, ends, levels + ["range"])
-    running = Window.partitionBy(*levels).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("upto", F.col("base") + F.sum("n_tokens").over(running)).where(F.col("upto") <= F.col("rest")).groupBy(*levels).agg(F.max("h").alias("last"))
+    rest = shares.where("rest > 0").select(*levels, "whole", "rest")
+    hashed = join_checked(measured, rest, levels).select(*levels, hash63(seed, F.col("whole")).alias("h"), "n_tokens")
+    ends = rest.select(*levels, "rest", F.lit(0).cast("long").alias("range"), F.lit(0).cast("long").alias("base"))
+    bits, rows = 0, RANGE_ROWS + 1
+    while rows > RANGE_ROWS and bits < HASH_BITS - ROUND_BITS:
+        ends, bits = materialise(_narrowed(hashed, ends, bits), "mix-ends"), bits + ROUND_BITS
+        rows = ends.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]
+        ends = ends.drop("rows")
+    inside = _open(hashed, ends, bits).groupBy(*levels, "rest", "base", "h").agg(F.sum("n_tokens").alias("t"))
+    running = Window.partitionBy(*levels).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    last = inside.withColumn("upto", F.col("base") + F.sum("t").over(running)).where(F.col("upto") <= F.col("rest")).groupBy(*levels).agg(F.max("h").alias("last"))
     out = shares.select(*levels, "whole").join(ends.select(*levels, "range"), levels, "left").join(last, levels, "left")
-    upto = F.coalesce("last", F.shiftleft(F.col("range"), 63 - RANGE_BITS) - 1, F.lit(-1))
+    upto = F.coalesce("last", F.shiftleft(F.col("range"), HASH_BITS - bits) - 1, F.lit(-1))
     return materialise(out.select(*levels, "whole", upto.alias("upto")), "mix-plan")
 
 
+def _open(hashed: DataFrame, ends: DataFrame, bits: int) -> DataFrame:
+    """The rows in their leaf's open range, with the columns of ``ends``; ``range`` is that range's leading ``bits`` of the hash."""
+    if not bits:
+        return join_checked(hashed, ends, list(LEVELS))
+    return join_checked(hashed.withColumn("range", F.shiftright("h", HASH_BITS - bits)), ends, [*LEVELS, "range"])
+
+
+def _narrowed(hashed: DataFrame, ends: DataFrame, bits: int) -> DataFrame:
+    """The range, ``ROUND_BITS`` finer, that holds each leaf's end, the tokens before it (``base``) and its rows."""
+    levels = list(LEVELS)
+    fine = _open(hashed, ends, bits).withColumn("range", F.shiftright("h", HASH_BITS - bits - ROUND_BITS))
+    sums = fine.groupBy(*levels, "rest", "base", "range").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("rows"))
+    order = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    past = sums.withColumn("upto", F.col("base") + F.sum("t").over(order)).where(F.col("upto") > F.col("rest"))
+    first = past.groupBy(*levels, "rest").agg(F.min(F.struct("range", (F.col("upto") - F.col("t")).alias("base"), "rows")).alias("end"))
+    return first.select(*levels, "rest", "end.range", "end.base", "end.rows")
+
+
 def copies(docs: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds epochs (long): how often each document is taken. ``docs`` has doc_id and the levels."""
     out = join_checked(docs, planned, list(LEVELS), "left")

@@ -43,15 +43,16 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def quality_rules_sql() -> str:
-    """Counts by windows over unnested words and lines; cutoffs by the binomial sum, a row per term."""
+    """Counts by windows over unnested words and lines; levels by the binomial sum, a row per term."""
     q = quality_rules
     rules = {
         "symbols_per_word": "n_symbols / greatest(n_words, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
         "upper_share": "n_upper / greatest(n_upper + n_lower, 1)", "marks_per_word": "n_marks / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)",
     }
-    ladder = ", ".join(f"({quoted(r)}, {k}, {c!r}::DOUBLE)" for r, cs in q.RULES.items() for k, c in enumerate(cs))
-    value = "CASE rule " + " ".join(f"WHEN {quoted(r)} THEN ({x})::DOUBLE" for r, x in rules.items()) + " END"
-    rate = f"({q.LIMIT!r}::DOUBLE / {len(q.RULES)})"
+    # cutoffs by level: a rule whose cutoffs have run out stays at the tightest
+    above = lambda k: " OR ".join(f"({x})::DOUBLE > {q.cutoffs_at(k)[r]!r}" for r, x in rules.items())
+    level = "CASE " + " ".join(f"WHEN {above(k)} THEN {k}" for k in range(1, q.LEVELS + 1)) + f" ELSE {q.NEVER} END"
+    rate = f"{q.LIMIT!r}::DOUBLE"
     only = lambda cls: f"length(regexp_replace(t, '[^{cls}]', '', 'g'))"
     return rf"""
 WITH d AS (
@@ -75,29 +76,26 @@ WITH d AS (
          {only('A-Z')} AS n_upper, {only('a-z')} AS n_lower, {only('!-/:-@[-`{-~')} AS n_marks
   FROM d LEFT JOIN words USING (r) LEFT JOIN covered USING (r) LEFT JOIN lines USING (r)
 ), b AS (
-  SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
-), ladder(rule, k, cutoff) AS (VALUES {ladder}),
-label AS (
+  SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {level} AS level FROM m
+), label AS (
   SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), held AS (
-  SELECT stratum, rule, k, cutoff, good, {value} > cutoff AS above FROM b JOIN label USING (doc_id), ladder WHERE NOT base_failed
+  SELECT doc_id, min(stratum) AS stratum, min(level) AS level, any_value(good) AS good FROM b JOIN label USING (doc_id) WHERE NOT base_failed GROUP BY doc_id
 ), tried AS (
-  SELECT stratum, rule, k, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND above) AS lost, count(*) FILTER (WHERE NOT good AND above) AS caught
-  FROM held GROUP BY ALL
+  SELECT stratum, k, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND level <= k) AS lost, count(*) FILTER (WHERE NOT good AND level <= k) AS caught
+  FROM held, range(1, {q.LEVELS + 1}) AS ladder(k) GROUP BY ALL
 ), term AS (
-  SELECT stratum, rule, k, n, unnest(range(0, lost + 1)) AS i FROM tried WHERE lost < n * {rate} + 1 AND lost < n
+  SELECT stratum, k, n, unnest(range(0, lost + 1)) AS i FROM tried WHERE lost < n * {rate} + 1 AND lost < n
 ), tail AS (
-  SELECT stratum, rule, k, sum(exp(lgamma((n + 1)::DOUBLE) - lgamma((i + 1)::DOUBLE) - lgamma((n - i + 1)::DOUBLE) + i * ln({rate}) + (n - i) * ln(1 - {rate}))) AS p FROM term GROUP BY ALL
+  SELECT stratum, k, sum(exp(lgamma((n + 1)::DOUBLE) - lgamma((i + 1)::DOUBLE) - lgamma((n - i + 1)::DOUBLE) + i * ln({rate}) + (n - i) * ln(1 - {rate}))) AS p FROM term GROUP BY ALL
 ), passed AS (
-  SELECT t.*, coalesce(p <= {q.ERROR!r}::DOUBLE / ({len(q.RULES)} * (SELECT greatest(1, count(DISTINCT stratum)) FROM tried WHERE n > 0)), false) AS ok FROM tried t LEFT JOIN tail USING (stratum, rule, k)
+  SELECT t.*, coalesce(p <= {q.ERROR!r}::DOUBLE / (SELECT greatest(1, count(DISTINCT stratum)) FROM tried WHERE n > 0), false) AS ok FROM tried t LEFT JOIN tail USING (stratum, k)
 ), valid AS (
-  SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY k DESC) AS certified FROM passed
+  SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY k) AS certified FROM passed
 ), chosen AS (
-  SELECT stratum, rule, arg_max(cutoff, (caught - lost) * 1000 + k) AS cutoff FROM valid WHERE certified AND caught > lost GROUP BY ALL
-), rejected AS (
-  SELECT DISTINCT r FROM b JOIN chosen USING (stratum) WHERE {value} > cutoff
+  SELECT stratum, arg_max(k, (caught - lost) * 1000 - k) AS chosen FROM valid WHERE certified AND caught > lost GROUP BY ALL
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM rejected) AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND level > coalesce(chosen, 0) AS kept FROM b LEFT JOIN chosen USING (stratum)
 """
 
 

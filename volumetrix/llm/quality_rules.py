@@ -1,24 +1,26 @@
 """Quality rules whose cutoffs come with a guarantee on how many good documents they reject.
 
-A labelled holdout gives, for each stratum, rule and cutoff, how many good documents the cutoff
-would reject. A cutoff is valid when an exact binomial test, P(Bin(n, a) <= rejected) <= d, refutes
-a false rejection rate above a. Within a rule, cutoffs are tested from loosest to tightest and
-testing ends at the first failure (fixed sequence, no further correction); over rules and strata d
-is divided by their number (Bonferroni). a is the stratum's limit divided by the number of rules, so
-all rules of a stratum together falsely reject at most ``limit`` with confidence 1 - ``error``. Of
-the valid cutoffs the one with the largest excess of bad over good rejections is used, ties going to
-the looser one; a rule with no such cutoff rejects nothing.
+The rules' cutoffs form one ladder: level 1 holds every rule at its loosest cutoff, and each further
+level moves every rule to its next tighter one. A document's level is the first at which some rule
+rejects it, so a labelled holdout is small counts by stratum and level. In each stratum the levels
+are tested from the loosest on, all rules together: a level is valid when an exact binomial test,
+P(Bin(n, limit) <= rejected good documents) <= d, refutes a false rejection rate above ``limit``, and
+testing ends at the first failure (fixed sequence, no further correction); over strata ``error`` is
+divided by their number (Bonferroni) to give d. So with confidence 1 - ``error`` the rules falsely
+reject at most ``limit`` in every stratum at once. Of the valid levels the one with the largest
+excess of bad over good rejections is used, ties going to the looser one; a stratum with no such
+level (too few labels: 217 good documents for four strata) rejects nothing beyond the base rules.
 
 Edge cases: a null or empty text has no words and fails the base rules. A null stratum counts as the
 empty string. Labels without a document, without quality or with a null id are ignored; a document
-labelled both ways counts as bad. Repeated document rows are judged each, and count each in the
-holdout. Empty tables give no cutoffs and no rows. Other columns of either table are never read.
+labelled both ways counts as bad. Repeated document rows are judged each, but are one document of
+the holdout, at the lowest of their levels and the first of their strata. Empty tables give no levels
+and no rows. Other columns of either table are never read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import discard, join_checked, materialise
 
-#: Rules: name and ascending cutoffs; a document is rejected when its feature is above the cutoff.
+#: Rules: name and ascending cutoffs; a document is rejected when its feature is above the cutoff. Level k is the k-th from the end.
 RULES: dict[str, tuple[float, ...]] = {
     "symbols_per_word": (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0),
     "repeat_share": (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5),
@@ -37,6 +39,8 @@ RULES: dict[str, tuple[float, ...]] = {
     "marks_per_word": (0.1, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0),
     "word_length": (6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0),
 }
+LEVELS = max(map(len, RULES.values()))
+NEVER = LEVELS + 1
 MIN_WORDS = 50
 LIMIT, ERROR = 0.02, 0.05
 
@@ -95,26 +99,36 @@ def measure(text: bytes) -> tuple:
     )
 
 
-def features(docs: DataFrame, *keep: Column, row: bool = False) -> DataFrame:
-    """``keep`` columns, and the row itself if asked, plus the base counts and features; map-only, whole texts."""
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__vx_row")] if row else [F.col("text").cast("binary").alias("__vx_text")]
-    own = docs.select(*keep, *whole)
-    kept = own.schema.fields if row else own.schema.fields[:-1]
-    schema = T.StructType(kept + FEATURES)
+FEATURE_TYPE = T.StructType(FEATURES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.columns[-1].field("text") if row else batch.columns[-1]
-            rows = [measure(x.as_py() or b"") for x in texts.cast(pa.large_binary())]
-            columns = list(zip(*rows)) if rows else [()] * len(FEATURES)
-            made = [pa.array(c, pa.int64() if k < len(BASE) else pa.float64()) for k, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=schema.names)
 
-    return own.mapInArrow(run, schema)
+@F.arrow_udf(FEATURE_TYPE)
+def _measured(texts: pa.Array) -> pa.Array:
+    columns = list(zip(*[measure(x.as_py() or b"") for x in texts.cast(pa.large_binary())])) or [()] * len(FEATURES)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64() if k < len(BASE) else pa.float64()) for k, c in enumerate(columns)], [f.name for f in FEATURES])
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def features(text: str = "text") -> Column:
+    """The base counts and features of whole texts as one struct; texts go to Python, only counts come back."""
+    return _measured(F.col(text).cast("binary"))
+
+
+def base_failed(m: str = "__vx_m") -> Column:
+    return (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
+
+
+def level(m: str = "__vx_m") -> Column:
+    """The first level at which some rule rejects; ``NEVER`` if none does."""
+    first = []
+    for rule, cs in RULES.items():
+        above = sum((F.col(f"{m}.{rule}") > F.lit(c)).cast("int") for c in cs)
+        first.append(F.when(above > 0, len(cs) + 1 - above).otherwise(NEVER))
+    return F.least(*first)
+
+
+def cutoffs_at(k: int) -> dict[str, float]:
+    """The cutoffs of a level; a rule that has run out of tighter ones stays at its tightest."""
+    return {rule: cs[max(0, len(cs) - k)] for rule, cs in RULES.items()}
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -132,85 +146,77 @@ def least_good(rate: float, error: float) -> int:
     return math.ceil(math.log(error) / math.log1p(-rate))
 
 
-def pick_cutoff(cutoffs: tuple[float, ...], good: list[int], bad: list[int], rate: float, error: float) -> float:
-    """``good[b]``, ``bad[b]``: labelled documents whose feature lies above exactly ``b`` cutoffs."""
-    n, best, chosen = sum(good), 0, math.inf
-    for b in range(len(cutoffs) - 1, -1, -1):  # loosest first
-        lost, caught = sum(good[b + 1 :]), sum(bad[b + 1 :])
-        # P(Bin <= k) is over 0.4 once k reaches the mean, so the sum stays short
-        if n == 0 or lost >= n * rate + 1 or binomial_tail(lost, n, rate) > error:
+def pick_level(good: list[int], bad: list[int], limit: float, error: float) -> int:
+    """``good[k]``, ``bad[k]``: labelled documents of level k (the last: never rejected). 0: no level."""
+    n, best, chosen, lost, caught = sum(good), 0, 0, 0, 0
+    for k in range(1, LEVELS + 1):  # loosest first
+        lost, caught = lost + good[k], caught + bad[k]
+        # P(Bin <= lost) is over 0.4 once lost reaches the mean, so the sum stays short
+        if n == 0 or lost >= n * limit + 1 or binomial_tail(lost, n, limit) > error:
             break
         if caught - lost > best:
-            best, chosen = caught - lost, cutoffs[b]
+            best, chosen = caught - lost, k
     return chosen
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
-    """One row per stratum that can certify anything: ``__vx_stratum`` and a cutoff per rule (infinity: none).
+def levels(measured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+    """``__vx_stratum`` and ``__vx_chosen``: one row per stratum that has a valid level.
 
-    ``measured``: ``__vx_id``, ``__vx_stratum`` and features; ``labels``: doc_id, quality.
-    Only small rows move: the texts have been reduced to features before.
+    ``measured``: ``__vx_id``, ``__vx_stratum``, ``__vx_level``, ``__vx_failed``; ``labels``: doc_id,
+    quality. Only small rows move: the texts have been reduced to levels before.
     """
     marked = (
         labels.select(F.col("doc_id").alias("__vx_id"), F.col("quality").alias("__vx_quality"))
         .where("__vx_id is not null and __vx_quality is not null")
         .groupBy("__vx_id").agg(F.min("__vx_quality").alias("__vx_quality"))
     )
-    held = measured.where(~base_failed()).join(marked, "__vx_id")
-    bins = F.array(*[F.struct(F.lit(r).alias("rule"), sum((F.col(r) > F.lit(c)).cast("int") for c in cs).alias("bin")) for r, cs in RULES.items()])
+    documents = measured.where("not __vx_failed and __vx_id is not null").groupBy("__vx_id").agg(F.min("__vx_stratum").alias("__vx_stratum"), F.min("__vx_level").alias("__vx_level"))
     counts = (
-        held.select("__vx_stratum", "__vx_quality", F.explode(bins).alias("b"))
-        .groupBy("__vx_stratum", "b.rule", "b.bin")
+        documents.join(marked, "__vx_id").groupBy("__vx_stratum", "__vx_level")
         .agg(F.sum((F.col("__vx_quality") > 0).cast("long")).alias("good"), F.sum((F.col("__vx_quality") <= 0).cast("long")).alias("bad"))
-    )
+    )
     counts = materialise(counts, "rule-counts")
-    rate = limit / len(RULES)
-    sizes = counts.where(F.col("rule") == next(iter(RULES))).groupBy("__vx_stratum").agg(F.sum("good").alias("n"))
-    tests = len(RULES) * max(1, sizes.where(F.col("n") > 0).count())
-    enough = sizes.where(F.col("n") >= least_good(rate, error / tests)).select("__vx_stratum")
+    strata = max(1, counts.where("good > 0").select("__vx_stratum").distinct().count())
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {"__vx_stratum": pdf["__vx_stratum"].iloc[0]}
-        for rule, cs in RULES.items():
-            good, bad = [0] * (len(cs) + 1), [0] * (len(cs) + 1)
-            for b, g, w in pdf.loc[pdf["rule"] == rule, ["bin", "good", "bad"]].itertuples(index=False):
-                good[b], bad[b] = int(g), int(w)
-            out[f"__vx_{rule}"] = pick_cutoff(cs, good, bad, rate, error / tests)
-        return pd.DataFrame([out])
-
-    chosen = counts.join(enough, "__vx_stratum").groupBy("__vx_stratum").applyInPandas(choose, "__vx_stratum string, " + ", ".join(f"__vx_{r} double" for r in RULES))
-    chosen = materialise(chosen, "rule-cutoffs")
+        good, bad = [0] * (NEVER + 1), [0] * (NEVER + 1)
+        for k, g, w in pdf[["__vx_level", "good", "bad"]].itertuples(index=False):
+            good[k], bad[k] = int(g), int(w)
+        return pd.DataFrame([{"__vx_stratum": pdf["__vx_stratum"].iloc[0], "__vx_chosen": pick_level(good, bad, limit, error / strata)}])
+
+    chosen = counts.groupBy("__vx_stratum").applyInPandas(choose, "__vx_stratum string, __vx_chosen int").where("__vx_chosen > 0")
+    chosen = materialise(chosen, "rule-levels")
     discard(counts)
     return chosen
 
 
 def stratum(column: str = "lang") -> Column:
-    return F.coalesce(F.col(column), F.lit("")).alias("__vx_stratum")
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def measured(docs: DataFrame, keep: list[Column], strata: str = "lang") -> DataFrame:
+    """``keep`` columns, the features as a struct and what follows from them, written once."""
+    own = docs.select(*keep, F.col("doc_id").alias("__vx_id"), stratum(strata).alias("__vx_stratum"), features().alias("__vx_m"))
+    return materialise(own.withColumn("__vx_failed", base_failed()).withColumn("__vx_level", level()), "rule-features")
 
 
-def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Adds base_failed and kept."""
-    above = [F.coalesce(F.col(r) > F.col(f"__vx_{r}"), F.lit(False)) for r in RULES]
-    rejected = above[0]
-    for x in above[1:]:
-        rejected = rejected | x
-    out = join_checked(measured, chosen, "__vx_stratum", "left").withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected).drop(*[f"__vx_{r}" for r in RULES])
+def judge(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Adds __vx_kept."""
+    out = join_checked(rows, chosen, "__vx_stratum", "left")
+    return out.withColumn("__vx_kept", ~F.col("__vx_failed") & (F.col("__vx_level") > F.coalesce("__vx_chosen", F.lit(0))))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, strata: str = "lang", limit: float = LIMIT, error: float = ERROR) -> DataFrame:
     """doc_id, the base counts, the features, base_failed and kept, one row per document row."""
-    measured = materialise(features(docs, F.col("doc_id").alias("__vx_id"), stratum(strata)), "rule-features")
-    verdict = judge(measured, cutoffs(measured, labels, limit, error))
-    return verdict.select(F.col("__vx_id").alias("doc_id"), *[n for n, _ in BASE], *RULES, "base_failed", "kept")
+    rows = measured(docs, [], strata)
+    return judge(rows, levels(rows, labels, limit, error)).select(F.col("__vx_id").alias("doc_id"), "__vx_m.*", F.col("__vx_failed").alias("base_failed"), F.col("__vx_kept").alias("kept"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, strata: str = "lang", limit: float = LIMIT, error: float = ERROR) -> DataFrame:
     """The documents that stay, with their own columns.
 
-    Features are computed twice, once for the cutoffs and once to filter, so that texts never move.
+    Rows are written once with their features, so that each text is measured once and none is shuffled.
     """
-    measured = features(docs, F.col("doc_id").alias("__vx_id"), stratum(strata))
-    chosen = cutoffs(measured, labels, limit, error)
-    verdict = judge(features(docs, stratum(strata), row=True), chosen)
-    return verdict.where("kept").select("__vx_row.*")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = measured(docs, own, strata)
+    return judge(rows, levels(rows, labels, limit, error)).where("__vx_kept").select(*own)

@@ -1,16 +1,19 @@
 """SimHash near-duplicates through pivot distance tables.
 
-Fingerprints: 64 bits, each the majority over the XXH64 hashes of a text's 4-word shingles.
-Distinct fingerprints (copies collapse first) get a table row of Hamming distances to ``PIVOTS``
-fixed reference fingerprints. By the triangle inequality a pair whose rows differ by more than the
-threshold in any coordinate cannot link; such pairs are discarded, survivors verified by XOR.
+Fingerprints: 64 bits, each the majority over the XXH64 hashes of a text's 4-word shingles. Each
+distinct fingerprint (copies collapse first) gets, once, a table row of Hamming distances to
+``PIVOTS`` fixed reference fingerprints, which goes with it from then on. By the triangle inequality
+a pair whose rows differ by more than the threshold in any coordinate cannot link; such pairs are
+discarded before their bits are looked at, and XOR verifies the survivors. ``figures`` tells how
+many pairs were met, survived the rows and linked.
 
 In 64 random bits distances to a pivot crowd around 32, so cells of pivot distances alone would let
-nearly every pair meet. Candidates therefore meet in groups that agree on 2 of 6 bit blocks
-(3 of 7 and so on for more fingerprints): 4 differing bits touch at most 4 blocks, so no link is lost. A group is searched breadth-first over
-its unvisited members, which emits at most one edge per member and compares a dense group about
-once. Groups beyond ``GROUP_ROWS`` are streamed past, not gathered; their fingerprints link through
-all values within half the threshold of them, which is exact and linear in the group.
+nearly every pair meet. Pairs therefore meet in groups that agree on 2 of 6 bit blocks (3 of 7 and
+so on for more fingerprints): 4 differing bits touch at most 4 blocks, so no link is lost. A large
+group is searched breadth-first over its unvisited members, which emits at most one edge per member
+and compares a dense group about once. Groups beyond ``GROUP_ROWS`` are streamed past, not gathered;
+their fingerprints link through all values within half the threshold of them, which is exact, linear
+in the group and needs no comparison that a pivot could spare.
 
 Edge cases: null and wordless texts have fingerprint zero and link like any other; fewer than four
 words are one shingle. Repeated rows get one component. A null doc_id never names a component unless
@@ -33,8 +36,10 @@ from .common import discard, materialise
 WORDS, SEED, BITS, THRESHOLD = 4, 42, 64, 4
 #: Blocks and how many of them agree in a candidate group, by growing number of distinct fingerprints.
 SCHEMES = ((6, 2), (7, 3), (8, 4), (9, 5))
-PIVOTS, PIVOT_SEED = 32, 20240501
+PIVOTS, PIVOT_SEED = 16, 20240501
 GROUP_ROWS = 50_000
+#: Ids of lost rows up to which they are broadcast (8 bytes each, far from what memory holds).
+BROADCAST_LOST = 2_000_000
 
 
 def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -103,21 +108,22 @@ def block_masks(blocks: int, agree: int) -> list[int]:
     return [sum(c) for c in combinations(single, agree)]
 
 
-def near(fps: np.ndarray, table: np.ndarray, others: np.ndarray, other_table: np.ndarray, threshold: int) -> np.ndarray:
-    """For pairs given side by side: which link. The pivot rows discard, XOR verifies the survivors."""
-    alive = np.flatnonzero(np.abs(table - other_table).max(axis=1, initial=0) <= threshold)
-    alive = alive[np.bitwise_count(fps[alive] ^ others[alive]) <= threshold]
-    return alive
+def near(a: np.ndarray, table_a: np.ndarray, b: np.ndarray, table_b: np.ndarray, threshold: int, tally: np.ndarray) -> np.ndarray:
+    """Of pairs given side by side (or one against many): which link. ``tally`` counts pairs, survivors of the rows, links."""
+    alive = np.flatnonzero(np.abs(table_a - table_b).max(axis=1, initial=0) <= threshold)
+    hit = alive[np.bitwise_count((a if a.ndim == 0 else a[alive]) ^ b[alive]) <= threshold]
+    tally += (len(b), len(alive), len(hit))
+    return hit
 
 
-def spanning_edges(fps: np.ndarray, refs: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+def spanning_edges(fps: np.ndarray, table: np.ndarray, threshold: int, tally: np.ndarray) -> list[tuple[int, int]]:
     """Edges (positions) that connect exactly what links of this group connect."""
-    table, left, edges = pivot_table(fps, refs), np.arange(len(fps)), []
+    left, edges = np.arange(len(fps)), []
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             at = front.pop()
-            hit = near(np.broadcast_to(fps[at], len(left)), np.broadcast_to(table[at], (len(left), len(refs))), fps[left], table[left], threshold)
+            hit = near(fps[at], table[at], fps[left], table[left], threshold, tally)
             if len(hit):
                 found = left[hit]
                 edges += [(at, int(x)) for x in found]
@@ -126,81 +132,96 @@ def spanning_edges(fps: np.ndarray, refs: np.ndarray, threshold: int) -> list[tu
     return edges
 
 
-def _group_edges(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _group_edges(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, threshold: int, tally: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges inside the runs of equal keys (sorted). Short runs are compared all at once, shifted by 1, 2, ..."""
     ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
     starts = np.concatenate([[0], ends[:-1]])
     sizes, a, b = ends - starts, [], []
     for s, e in zip(starts[sizes > 32], ends[sizes > 32]):
-        for x, y in spanning_edges(fps[s:e], refs, threshold):
+        for x, y in spanning_edges(fps[s:e], table[s:e], threshold, tally):
             a.append(fps[s + x])
             b.append(fps[s + y])
-    short = np.repeat((sizes <= 32) & (sizes > 1), sizes)
-    at = np.flatnonzero(short)
+    at = np.flatnonzero(np.repeat((sizes <= 32) & (sizes > 1), sizes))
     out_a, out_b = [np.array(a, np.uint64)], [np.array(b, np.uint64)]
-    if len(at):
-        run_end = np.repeat(ends, sizes)
-        table = pivot_table(fps[at], refs)
-        place = np.zeros(len(fps), np.int64)
-        place[at] = np.arange(len(at))
-        for shift in range(1, 32):
-            at = at[at + shift < run_end[at]]
-            if not len(at):
-                break
-            hit = near(fps[at], table[place[at]], fps[at + shift], table[place[at + shift]], threshold)
-            out_a.append(fps[at[hit]])
-            out_b.append(fps[at[hit] + shift])
+    run_end = np.repeat(ends, sizes)
+    for shift in range(1, 32):
+        at = at[at + shift < run_end[at]]
+        if not len(at):
+            break
+        hit = near(fps[at], table[at], fps[at + shift], table[at + shift], threshold, tally)
+        out_a.append(fps[at[hit]])
+        out_b.append(fps[at[hit] + shift])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """u, v: edges between fingerprints (column fp) whose components are those of all links."""
+#: What a row of ``met`` holds: an edge, a member of a large group, or (per task) pairs, survivors and links in u, v, n.
+EDGE, LARGE, TALLY = 0, 1, 2
+
+
+def met(distinct: DataFrame, threshold: int = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """kind, u, v, n: what the groups of fingerprints (column fp) give, materialised."""
     masks = np.array(block_masks(*scheme(distinct.count(), threshold)), np.uint64)
     refs = pivots()
-    kinds = "mask int, part long, fp long"
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each fingerprint's table row is made here, once, and copied into its groups."""
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(refs)), len(fps), [None, pa.py_buffer(pivot_table(fps, refs).tobytes())]).cast(pa.binary())
             for k, mask in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), k, np.int32)), pa.array((fps & mask).view(np.int64)), pa.array(fps.view(np.int64))], names=["mask", "part", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), k, np.int32)), pa.array((fps & mask).view(np.int64)), pa.array(fps.view(np.int64)), rows], names=["mask", "part", "fp", "pivots"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), large))], names=["u", "v", "large"])
+    def out(kind: int, u: np.ndarray, v: np.ndarray, n: int = 0) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.full(len(u), n, np.int64))], names=["kind", "u", "v", "n"])
 
-        held_k, held_f, passing = np.empty((0, 2), np.int64), np.empty(0, np.uint64), None
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(upto: int) -> Iterator[pa.RecordBatch]:
+            if upto:
+                k = held[0][:upto]
+                run = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(axis=1))])
+                yield out(EDGE, *_group_edges(run, held[1][:upto], held[2][:upto], threshold, tally))
+
+        tally, passing = np.zeros(3, np.int64), None
+        held = [np.empty((0, 2), np.int64), np.empty(0, np.uint64), np.empty((0, len(refs)), np.int8)]
         for batch in batches:
             k = np.stack([batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
             f = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            t = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, len(refs))
             if passing is not None:  # the rest of a large group
                 same = (k == passing).all(axis=1)
-                yield out(f[same], f[same], True)
-                k, f, passing = k[~same], f[~same], passing if same.all() else None
-            held_k, held_f = np.concatenate([held_k, k]), np.concatenate([held_f, f])
-            if not len(held_f):
+                yield out(LARGE, f[same], f[same])
+                k, f, t, passing = k[~same], f[~same], t[~same], passing if same.all() else None
+            held = [np.concatenate([x, y]) for x, y in zip(held, (k, f, t))]
+            if not len(held[1]):
                 continue
-            last = int(np.argmax((held_k == held_k[-1]).all(axis=1)))  # the last group may go on in the next batch
-            yield from done(held_k[:last], held_f[:last], out)
-            held_k, held_f = held_k[last:], held_f[last:]
-            if len(held_f) > group_rows:
-                passing = held_k[-1]
-                yield out(held_f, held_f, True)
-                held_k, held_f = held_k[:0], held_f[:0]
-        yield from done(held_k, held_f, out)
-
-    def done(k: np.ndarray, f: np.ndarray, out) -> Iterator[pa.RecordBatch]:
-        if len(f):
-            run = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(axis=1))])
-            yield out(*_group_edges(run, f, refs, threshold), False)
-
-    keyed = distinct.select("fp").mapInArrow(expand, kinds)
-    met = keyed.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(compare, "u long, v long, large boolean")
-    met = materialise(met.distinct(), "simhash-met")
-    small = met.where("not large").select("u", "v")
-    if met.where("large").limit(1).count() == 0:
+            last = int(np.argmax((held[0] == held[0][-1]).all(axis=1)))  # the last group may go on in the next batch
+            yield from done(last)
+            held = [x[last:] for x in held]
+            if len(held[1]) > group_rows:
+                passing = held[0][-1]
+                yield out(LARGE, held[1], held[1])
+                held = [x[:0] for x in held]
+        yield from done(len(held[1]))
+        yield out(TALLY, tally[:1], tally[1:2], int(tally[2]))
+
+    keyed = distinct.select("fp").mapInArrow(expand, "mask int, part long, fp long, pivots binary")
+    found = keyed.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(compare, "kind int, u long, v long, n long")
+    return materialise(found, "simhash-met")
+
+
+def figures(found: DataFrame) -> dict[str, int]:
+    """Pairs that met in ``met``, those that the pivot rows let through, and those that linked."""
+    row = found.where(F.col("kind") == TALLY).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("u", "v", "n")]).first()
+    return dict(zip(("pairs", "survivors", "links"), row))
+
+
+def links(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """u, v: edges between fingerprints whose components are those of all links. ``found``: of ``met``."""
+    small = found.where(F.col("kind") == EDGE).select("u", "v")
+    large = found.where(F.col("kind") == LARGE)
+    if large.limit(1).count() == 0:
         return small
-    return small.union(_within_half(met.where("large").select(F.col("u").alias("fp")).distinct(), threshold))
+    return small.union(_within_half(large.select(F.col("u").alias("fp")).distinct(), threshold))
 
 
 def _within_half(fps: DataFrame, threshold: int) -> DataFrame:
@@ -247,7 +268,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, gro
     """doc_id, fp, root (a fingerprint that names the component) and component_id: one row per document row."""
     own = materialise(fingerprints(docs, text), "simhash-fps")
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = materialise(connected(links(distinct, threshold, group_rows)), "simhash-roots")
+    roots = materialise(connected(links(met(distinct, threshold, group_rows), threshold)), "simhash-roots")
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     found = of.join(named, "root").select(F.col("fp").alias("__vx_fp"), "root", "component_id")
@@ -268,7 +289,8 @@ def keep_one(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD) ->
     found = materialise(classes(docs, text, threshold), "simhash-classes")
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vx_id"))
-        return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__vx_id")), "left_anti")
+        side = F.broadcast(lost) if lost.limit(BROADCAST_LOST + 1).count() <= BROADCAST_LOST else lost.hint("shuffle_hash")  # hashed: texts stream past it
+        return docs.join(side, docs["doc_id"].eqNullSafe(F.col("__vx_id")), "left_anti")
     first = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("__vx_id"), F.col("m.fp").alias("__vx_fp"))
     rows = fingerprints(docs, text, row=True)
     kept = rows.join(first, rows["doc_id"].eqNullSafe(first["__vx_id"]) & (rows["fp"] == first["__vx_fp"]), "left_semi")

@@ -24,10 +24,10 @@ PLAIN = "[\t\n\r" + "".join(re.escape(c) for c in map(chr, [*range(0x20, 0x7F),
 #: The vocabulary's words, written for lower-case plain characters.
 WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+"
 VOCABULARY = "word_bpe_49k.json"
-#: Entries of each cache; the half not used lately is given up when it is full.
+#: Chunks and words after which the present generation of the cache becomes the old one, and the old one is given up.
 CACHE_ENTRIES = 120_000
 #: Characters of text that are cut at once.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 4_000_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -54,24 +54,6 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Cache:
-    """Two generations of entries: a full young one becomes the old one, and what the old one is asked for moves back."""
-
-    def __init__(self, entries: int):
-        self.half, self.young, self.old = max(1, entries // 2), {}, {}
-
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.half:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
-
-
 class WordEncoder:
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -83,7 +65,9 @@ class WordEncoder:
         self.alphabet = {ord(chr(b)): c for b, c in byte_alphabet().items()}
         self.cut = re.compile(WORDS).findall
         self.plain = re.compile(PLAIN).fullmatch
-        self.words, self.chunks = Cache(entries), Cache(entries)
+        self.entries = entries
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def is_plain(self, text: str) -> bool:
         return self.plain(text) is not None and not any(x in text for x in self.added)
@@ -93,16 +77,25 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+        """Ids of a word, or of a chunk that is one word. What the old generation still knows moves to the young one."""
+        ids = self.young.get(word) or self.old.get(word)
         if ids is None:
             found = self.bpe(word.encode().decode("latin-1").translate(self.alphabet))
             ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            if len(word) <= 64:
-                self.words.put(word, ids)
+        if len(word) <= 64:
+            self.young[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._word, self.cut(chunk)))
+        ids = self.old.get(chunk)
+        if ids is None:
+            words = self.cut(chunk)
+            if len(words) == 1:
+                return self._word(chunk)
+            ids = b"".join(map(self._word, words))
+        if len(chunk) <= 64:
+            self.young[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order, as unsigned 32-bit integers."""
@@ -122,14 +115,10 @@ class WordEncoder:
         column = pa.array([t if p else "" for t, p in zip(texts, plain)], pa.large_string())
         lists = pc.ascii_split_whitespace(pc.utf8_lower(column))
         coded = lists.flatten().dictionary_encode()
-        known, packed = self.chunks, []
-        for chunk in coded.dictionary.to_pylist():
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    known.put(chunk, ids)
-            packed.append(ids)
+        if len(self.young) >= self.entries:
+            self.young, self.old = {}, self.young
+        known, unknown = self.young.get, self._chunk
+        packed = [known(c) or unknown(c) for c in coded.dictionary.to_pylist()]
         placed = pa.array(packed, pa.large_binary()).take(coded.indices)
         data = placed.buffers()[2]
         ids = np.frombuffer(data, np.uint32) if data else np.empty(0, np.uint32)
