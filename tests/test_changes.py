@@ -109,7 +109,7 @@ def test_stream_equals_fold(spark, tmp_path, per_batch):
     live.use_rocksdb(spark)
     stream = spark.readStream.format("fsjournal").options(path=str(tmp_path / "j"), startingUsn="earliest", maxPerBatch=per_batch).load()
     seen: list[int] = []
-    query = live.follow(stream, str(tmp_path / "out"), str(tmp_path / "ck"), {"processingTime": "0 seconds"}, seen.append)
+    query = live.follow(stream, str(tmp_path / "out"), str(tmp_path / "ck"), {"processingTime": "0 seconds"}, seen.append, snapshot_every=2)
     try:
         for _ in range(200):
             query.processAllAvailable()
@@ -123,6 +123,30 @@ def test_stream_equals_fold(spark, tmp_path, per_batch):
     assert {r.mft_index: (r.parent, r["name"], r["size"], r.is_directory) for r in live.snapshot(done).collect()} == files
     assert live.rejects(done).count() == sum(x[3] is not None for x in want)
     assert len(seen) >= len(rows) // per_batch
+    now = live.current(spark, str(tmp_path / "out"))
+    assert {r.mft_index: (r.parent, r["name"], r["size"], r.is_directory) for r in now.collect()} == files
+    kept = live.snapshots(spark, str(tmp_path / "out"))
+    assert kept == [n for n in seen if n % 2 == 1][-2:]
+
+
+def test_current_table_reads_a_snapshot_and_the_tail(spark, tmp_path):
+    """However many batches there are, files of the last snapshot and of the batches after it are read; a snapshot without its marker is not."""
+    path = str(tmp_path / "out")
+    initial = spark.createDataFrame([("C", 1, 5, "kept", 3, False), ("C", 2, 5, "gone", 3, False)], FILES)
+    for n in range(23):
+        row = [("C", n, "create", 100 + n, 5, f"f{n}", 0, False, None), ("C", n, "create", 100, 5, "again", 0, False, "occupied")] + ([("C", n, "delete", 2, None, None, None, None, None)] if n == 4 else [])
+        spark.createDataFrame(row, live.OUTCOMES).coalesce(1).write.parquet(f"{path}/batch={n}")
+        if n % 10 == 9:
+            live.write_snapshot(spark, path, n, initial)
+    now = live.current(spark, path, initial)
+    assert sorted((r.mft_index, r["name"]) for r in now.collect()) == [(1, "kept"), *((100 + n, f"f{n}") for n in range(23))]
+    read = {f.split("/out/")[1].rsplit("/", 1)[0] for f in now.inputFiles()}
+    assert read == {"snapshots/upto=19", "batch=20", "batch=21", "batch=22"} and live.snapshots(spark, path) == [9, 19]
+    (tmp_path / "out/snapshots/upto=19/_SUCCESS").unlink()
+    assert live.current(spark, path, initial).count() == 24 and live.current(spark, path, initial, upto=3).count() == 6
+    live.write_snapshot(spark, path, 19, initial)
+    live.write_snapshot(spark, path, 22, initial)
+    assert live.snapshots(spark, path) == [19, 22] and live.current(spark, path).count() == 24
 
 
 def test_stream_starts_from_a_table(spark, tmp_path):

@@ -45,3 +45,18 @@ def test_buffers_as_rows(spark):
     df = frames.decode_journal(spark.createDataFrame(data, "volume string, data binary").repartition(3))
     found = df.withColumn("record", record_number(df.file_ref)).collect()
     assert sorted((r.volume, r.usn, r.record, r["name"]) for r in found) == [("C", 100, 42, "a.txt"), ("C", 260, 2**48 - 1, "é\U0001f600"), ("C", 340, 44, ""), ("D", 100, 42, "a.txt")]
+
+
+def test_cursor_guard_of_buffers(spark):
+    """Buffers without a next USN, or with one before the USN they were read from, have no rows."""
+    data = [frames.encode_frames(ROWS, n) for n in (0, 50, 100, 400)]
+    df = spark.createDataFrame([("C", bytearray(d), 100) for d in data] + [("C", bytearray(data[1]), None), ("C", None, 1)], "volume string, data binary, asked long")
+    assert frames.decode_journal(df).count() == 3 * 3 and frames.decode_journal(df.drop("asked")).count() == 5 * 3
+    at = spark.createDataFrame([(0, 100), (50, 100), (100, 100), (400, 100)], "n long, a long")
+    assert [r[0] for r in at.select(frames.cursor_after(at.n, at.a)).collect()] == [100, 100, 100, 400]
+
+
+def test_buffers_as_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.bin").write_bytes(frames.encode_frames(ROWS, 1000 + k))
+    assert frames.decode_journal(frames.read_buffers(spark, str(tmp_path), "D")).groupBy("volume").count().collect() == [("D", 9)]

@@ -10,6 +10,8 @@ from .sources.mft import MftSource
 
 
 def register_sources(spark: SparkSession) -> None:
+    """Both formats, with the push-down of filters that ``fsjournal`` implements and Spark has off."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MftSource)
     spark.dataSource.register(JournalSource)
 
@@ -25,14 +27,12 @@ class Index:
 
     def __init__(self, files: DataFrame, cache: bool = True):
         self.files = files.persist() if cache else files
-        found = tree.Tree.of(self.files)
-        self.tree = tree.Tree(self.files, found.inner.persist() if cache else found.inner)
+        self.tree = tree.Tree.of(self.files).kept()
 
     def replaced(self, files: DataFrame) -> "Index":
         return Index(files)
 
     def close(self) -> None:
-        self.tree.inner.unpersist()
         self.files.unpersist()
 
     def matching(self, text: str, strict: bool = False) -> DataFrame:

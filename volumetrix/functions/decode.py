@@ -133,8 +133,8 @@ def file_info(record: bytes, sector: int = 512) -> FileInfo | None:
     if name is None:
         return None
     size = max(data_size(record), name[0])
-    if size >= 1 << 63:
-        raise ValueError(f"size {size} does not fit 63 bits")
+    if size >= 1 << 63:  # no file's: the record is corrupt, and one such record must not end a load
+        return None
     return FileInfo(name[1], name[2], size, head.is_directory, torn)
 
 

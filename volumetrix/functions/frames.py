@@ -11,7 +11,8 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import JOURNAL, REASON_MASK
 
@@ -61,19 +62,34 @@ def encode_frames(rows: Iterable[tuple], following: int, version: int = VERSION)
     return bytes(out)
 
 
+def cursor_after(following: Column, asked: Column) -> Column:
+    """``next_usn`` for columns: where to go on, which is where one was if the buffer has no next USN or goes backwards."""
+    return F.when((following != 0) & (following >= asked), following).otherwise(asked)
+
+
+def read_buffers(spark: SparkSession, path: str, volume: str = "C") -> DataFrame:
+    """Raw buffers kept as files, one read each, by Spark's own reader: volume, data."""
+    return spark.read.format("binaryFile").load(path).select(F.lit(volume).alias("volume"), F.col("content").alias("data"))
+
+
 def decode_journal(buffers: DataFrame, mask: int = REASON_MASK) -> DataFrame:
-    """Journal rows of raw buffers (volume, data); map-only. Null and empty buffers have none."""
+    """Journal rows of raw buffers (volume, data); map-only. Null and empty buffers have none.
+
+    With a column ``asked`` (the USN a buffer was read from), buffers that the cursor guard refuses have none either.
+    """
+    guarded = "asked" in buffers.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         names = ["volume", "usn", "reason", "file_ref", "parent_ref", "file_attributes", "name"]
         for batch in batches:
-            for volume, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(volume, *r) for r in frames(data, mask)] if data else []
+            asked = batch.column(2).to_pylist() if guarded else [None] * batch.num_rows
+            for volume, data, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), asked):
+                rows = [(volume, *r) for r in frames(data, mask)] if data and (at is None or next_usn(data, at) is not None) else []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return buffers.select("volume", "data").mapInArrow(run, JOURNAL)
+    return buffers.select("volume", "data", *(["asked"] if guarded else [])).mapInArrow(run, JOURNAL)
 
 
 def encode_journal(rows: DataFrame, following: int) -> DataFrame:

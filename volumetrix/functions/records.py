@@ -43,6 +43,26 @@ def encode_records(files: DataFrame, record_size: int = 1024) -> DataFrame:
     return files.select("volume", "mft_index", "name", "parent", "size", "is_directory").mapInArrow(run, "volume string, mft_index bigint, record binary")
 
 
+def encode_attributes(files: DataFrame, record_size: int = 1024) -> DataFrame:
+    """Records with any names and data: volume, mft_index, record of rows with volume, mft_index, is_directory, names, resident, allocated.
+
+    ``names``: array of (name, parent, size, namespace, flags) in order. ``resident``: bytes of a data attribute inside
+    the record; ``allocated``: size of one outside it; null for none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for directory, names, inside, outside in zip(*[batch.column(k).to_pylist() for k in range(2, 6)]):
+                parts = [encode.name_attribute(n["name"], n["parent"], n["size"], n["namespace"], n["flags"]) for n in names]
+                parts += [encode.resident(decode.ATTR_DATA, bytes(inside))] if inside is not None else []
+                parts += [encode.data_attribute(encode.run_list([(9, 3), (None, 2), (4, 300)]), outside, outside)] if outside is not None else []
+                data.append(encode.record(parts, 1 | 2 * directory, record_size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["volume", "mft_index", "record"])
+
+    return files.select("volume", "mft_index", "is_directory", "names", "resident", "allocated").mapInArrow(run, "volume string, mft_index bigint, record binary")
+
+
 @F.udtf(returnType="position int, kind bigint, start int, length bigint, non_resident boolean")
 class MftAttributes:
     """Attributes of a record, in order."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists
+
 
 def find_by_index(files: DataFrame, index: int, volume: str | None = None) -> DataFrame:
     rows = files.where(F.col("mft_index") == index)
@@ -30,6 +32,12 @@ def page(results: DataFrame, offset: int, limit: int) -> DataFrame:
     return results.orderBy("mft_index").offset(offset).limit(limit)
 
 
+def list_volumes(spark: SparkSession, configured: dict[str, str]) -> DataFrame:
+    """volume (upper-case letter) and path of the configured volumes that are there, in letter order: one look per letter, on the driver."""
+    there = [(letter.upper(), path) for letter, path in sorted(configured.items(), key=lambda x: x[0].upper()) if exists(spark, path)]
+    return spark.createDataFrame(there, "volume string, path string").orderBy("volume")
+
+
 def first_volume(volumes: DataFrame) -> DataFrame:
     return volumes.orderBy("volume").limit(1)
 

@@ -1,8 +1,9 @@
 """Path search: components of the text, last first, must be contained in the names up the chain.
 
 A chain shorter than the text ends the comparison, and a record whose parent is missing has an empty
-chain and matches every search (``strict`` leaves those out). Components are joined level by level, so
-a search of k components is k joins to the parents' side and plain ``contains`` on names.
+chain and matches every search (``strict`` leaves those out). The last component is tested before
+any join, so only files whose own name holds it go up the chain, level by level: k joins to the
+parents' side and plain ``contains`` on names. Records without a parent are one anti-join apart.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ROOT
-from .tree import Tree
+from .tree import Tree, orphans
 
 
 def parse(text: str) -> list[str]:
@@ -24,24 +25,35 @@ def parse(text: str) -> list[str]:
 def search(tree: Tree, text: str, strict: bool = False) -> DataFrame:
     """The files that match ``text``, with the columns of the files."""
     terms = parse(text)
-    rows, columns = tree.files, tree.files.columns
+    files, columns = tree.files, tree.files.columns
     if not terms:
-        return rows
-    rows = rows.withColumn("__volume", F.col("volume")).withColumn("__parent", F.col("parent")).withColumn("__name", F.col("name"))
-    found = None
-    for k, term in enumerate(terms):
-        up = tree.inner.select(F.col("volume").alias("__uv"), F.col("mft_index").alias("__ui"), F.col("parent").alias("__up"), F.col("name").alias("__un"))
-        rows = rows.join(up, (F.col("__volume") == F.col("__uv")) & (F.col("__parent") == F.col("__ui")), "left")
-        at_root = F.col("__parent") == ROOT
-        missing = ~at_root & F.col("__ui").isNull()
-        hit = F.col("__name").contains(term)
-        # undecided rows go on with the parent; a decided one keeps its flag and no longer joins
-        decided = F.when(missing, F.lit(k > 0 or not strict)).when(~hit, F.lit(False)).when(at_root | F.lit(k == len(terms) - 1), F.lit(True))
-        flag = decided if found is None else F.coalesce(F.col("__found"), decided)
-        rows = rows.withColumn("__found", flag).where("__found is null or __found")
-        rows = rows.withColumn("__parent", F.when(F.col("__found").isNull(), F.col("__up"))).withColumn("__name", F.col("__un")).drop("__uv", "__ui", "__up", "__un")
-        found = True
-    return rows.where("__found").select(*columns)
+        return files
+    hit = F.col("name").contains(terms[0])
+    rows = files.where(hit)
+    if len(terms) > 1:
+        rows = _above(tree, rows, terms[1:], strict).select(*columns)
+    elif strict:
+        ids = tree.inner.select(F.col("volume").alias("__uv"), F.col("mft_index").alias("__ui"))
+        below = rows.where(F.col("parent") != ROOT).join(ids, (F.col("volume") == F.col("__uv")) & (F.col("parent") == F.col("__ui")), "left_semi")
+        rows = rows.where(F.col("parent") == ROOT).unionByName(below)
+    return rows if strict else rows.unionByName(orphans(files, tree.inner).where(~hit))
+
+
+def _above(tree: Tree, rows: DataFrame, terms: list[str], strict: bool) -> DataFrame:
+    """Rows whose parents' names hold the other terms, one join a level. A record is decided by the chain's end or its last term."""
+    ids = tree.inner.select(F.col("volume").alias("__pv"), F.col("mft_index").alias("__pi"))
+    up = tree.inner.join(ids, (F.col("volume") == F.col("__pv")) & (F.col("parent") == F.col("__pi")), "left")
+    up = up.select(F.col("volume").alias("__uv"), F.col("mft_index").alias("__ui"), F.col("parent").alias("__up"), F.col("name").alias("__un"), ((F.col("parent") != ROOT) & F.col("__pi").isNull()).alias("__uo"))
+    rows = rows.withColumn("__at", F.col("parent"))
+    for k, term in enumerate(terms, 1):
+        rows = rows.join(up, (F.col("volume") == F.col("__uv")) & (F.col("__at") == F.col("__ui")), "left")
+        seen = F.when(F.col("__uo"), F.lit(True)).when(~F.col("__un").contains(term), F.lit(False)).when((F.col("__up") == ROOT) | F.lit(k == len(terms)), F.lit(True))
+        if k == 1:
+            seen = F.when(F.col("parent") == ROOT, F.lit(True)).when(F.col("__ui").isNull(), F.lit(not strict)).otherwise(seen)
+        else:
+            seen = F.coalesce("__found", seen)
+        rows = rows.withColumn("__found", seen).where("__found is null or __found").withColumn("__at", F.when(F.col("__found").isNull(), F.col("__up"))).drop("__uv", "__ui", "__up", "__un", "__uo")
+    return rows.where("__found")
 
 
 def chain_matches(chain: Column, search_text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Parent pointers to paths.
 
 Only records that some record names as parent (mostly directories, far fewer than files) are walked,
-by pointer doubling: log2(depth) joins over that small side. Every record then needs one join to its
+by pointer doubling: log2(depth) joins over that small side, each round written to the shared folder. Every record then needs one join to its
 parent's path. A record whose parent is missing, other than the root's children, ends a chain and
 adds no name to it, so an orphan's path is the drive alone.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ROOT
+from ..storage import materialise
 
 MAX_DEPTH = 1024
 
@@ -34,6 +35,10 @@ class Tree:
         parents = files.select("volume", F.col("parent").alias("mft_index")).distinct()
         return Tree(files, narrow.join(parents, ["volume", "mft_index"], "left_semi"))
 
+    def kept(self) -> "Tree":
+        """The tree with its inner side written once, for the joins of a search and of the paths."""
+        return Tree(self.files, materialise(self.inner, "tree-inner"))
+
 
 def inner_paths(tree: Tree, max_depth: int = MAX_DEPTH) -> DataFrame:
     """volume, mft_index, path (backslash before every name, empty for an orphan), complete.
@@ -47,18 +52,15 @@ def inner_paths(tree: Tree, max_depth: int = MAX_DEPTH) -> DataFrame:
     listed = at_root | F.col("pi").isNotNull()
     step = known.select(
         "volume", "mft_index", F.when(listed, F.concat(F.lit("\\"), "name")).otherwise("").alias("path"), F.when(~at_root & F.col("pi").isNotNull(), F.col("parent")).alias("ptr")
-    ).persist()
-    reach, done = 1, []
-    while step.agg(F.count("ptr")).first()[0] and reach < max_depth:  # one job a round, which also fills the cache
+    )
+    step, reach = materialise(step, "tree-paths"), 1
+    while reach < max_depth and step.where("ptr is not null").limit(1).count():
         higher = step.select(F.col("volume").alias("pv"), F.col("mft_index").alias("pi"), F.col("path").alias("head"), F.col("ptr").alias("next"))
-        before = step
         step = step.join(higher, (F.col("volume") == F.col("pv")) & (F.col("ptr") == F.col("pi")), "left").select(
             "volume", "mft_index", F.concat(F.coalesce("head", F.lit("")), "path").alias("path"), F.col("next").alias("ptr")
-        ).persist()
-        done.append(before)
+        )
+        step = materialise(step, "tree-paths")
         reach *= 2
-    for old in done[:-1]:
-        old.unpersist()
     return step.select("volume", "mft_index", "path", F.col("ptr").isNull().alias("complete"))
 
 
@@ -76,7 +78,7 @@ def full_paths(tree: Tree, rows: DataFrame | None = None, max_depth: int = MAX_D
     return joined.withColumn("path", F.concat(drive(F.col("volume")), path)).drop("pv", "pi", "head", "complete")
 
 
-def orphans(files: DataFrame) -> DataFrame:
-    """Rows whose parent is missing and not the root."""
-    ids = files.select(F.col("volume").alias("pv"), F.col("mft_index").alias("pi"))
+def orphans(files: DataFrame, inner: DataFrame | None = None) -> DataFrame:
+    """Rows whose parent is missing and not the root. ``inner`` (of a ``Tree``) holds every parent there is, and is far smaller than the files."""
+    ids = (files if inner is None else inner).select(F.col("volume").alias("pv"), F.col("mft_index").alias("pi"))
     return files.where(F.col("parent") != ROOT).join(ids, (F.col("volume") == F.col("pv")) & (F.col("parent") == F.col("pi")), "left_anti")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..api import register_sources
 from ..functions import bits, frames, records
 from ..operators import changes, lookup, runs, search, tree
 from ..schema import ID_MASK, ROOT
-from ..sources import tables
+from ..sources import images, tables
+from ..sources.journal import read_journal
 from ..streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,11 +55,11 @@ def query(sql: str | None = None):
 
 
 def plain_tree(spark: SparkSession, sf_dir: str) -> tree.Tree:
-    return tree.Tree.of(tables.files(spark, sf_dir))
+    return tree.Tree.of(tables.files(spark, sf_dir)).kept()
 
 
 def orphaned_tree(spark: SparkSession, sf_dir: str) -> tree.Tree:
-    return tree.Tree.of(tables.files(spark, sf_dir, with_orphans=True))
+    return tree.Tree.of(tables.files(spark, sf_dir, with_orphans=True)).kept()
 
 
 # sources and counts
@@ -68,9 +70,79 @@ def file_scan(spark, sf_dir):
     return tables.files(spark, sf_dir)
 
 
-@query(f"WITH {FILES} SELECT volume, mft_index, parent, name, size, is_directory FROM files")
+#: Files with names and data of many kinds: {0} is the table; a short name before the Win32 one, a POSIX name before a DOS one,
+#: reparse points (all names, or the first), data inside the record (of some bytes) or outside it.
+RICH_SQL = """
+SELECT volume, mft_index, parent, CASE WHEN mft_index % 3 = 2 AND mft_index % 13 <> 0 THEN 'LAST~' || mft_index ELSE name END AS name,
+       greatest(CASE WHEN mft_index % 3 = 1 OR mft_index % 13 = 0 THEN size ELSE size + 1 END, CASE mft_index % 4 WHEN 1 THEN mft_index % 200 WHEN 2 THEN mft_index * 4096 ELSE 0 END) AS size, is_directory
+FROM {0} WHERE mft_index % 11 <> 0
+"""
+
+
+def rich_records(files: DataFrame) -> DataFrame:
+    """Records for ``RICH_SQL``: the name of position k carries the file's size plus k."""
+    k, short = F.col("mft_index"), F.concat(F.lit("SHORT~"), F.col("mft_index").cast("string"))
+    reparse = F.when(k % 11 == 0, 0x400).otherwise(0)
+    name = lambda text, namespace, at, flags=reparse: F.struct(text.alias("name"), F.col("parent").alias("parent"), (F.col("size") + at).alias("size"), F.lit(namespace).alias("namespace"), flags.alias("flags"))
+    own, last = F.col("name"), F.concat(F.lit("LAST~"), k.cast("string"))
+    names = (
+        F.when(k % 13 == 0, F.array(name(short, 1, 5, F.lit(0x400)), name(own, 3, 0)))
+        .when(k % 3 == 0, F.array(name(short, 2, 0), name(own, 1, 1), name(last, 3, 2)))
+        .when(k % 3 == 1, F.array(name(own, 3, 0)))
+        .otherwise(F.array(name(own, 0, 0), name(last, 2, 1)))
+    )
+    inside = F.when(k % 4 == 1, F.unhex(F.expr("repeat('ab', cast(mft_index % 200 as int))")))
+    return records.encode_attributes(files.select("volume", "mft_index", "is_directory", names.alias("names"), inside.alias("resident"), F.when(k % 4 == 2, k * 4096).alias("allocated")))
+
+
+@query(f"WITH {FILES} {RICH_SQL.format('files')}")
 def mft_roundtrip(spark, sf_dir):
-    return records.decode_records(records.encode_records(tables.files(spark, sf_dir))).drop("torn")
+    """Records with several names, reparse points and data of either kind, encoded and decoded again."""
+    return records.decode_records(rich_records(tables.files(spark, sf_dir))).drop("torn")
+
+
+#: Directories by small record numbers, so that a table of all slots is an image of a few megabytes.
+SMALL_SQL = """
+small AS (
+  SELECT 'C' AS volume, 100 + r_regionkey::BIGINT AS mft_index, 5::BIGINT AS parent, r_name AS name, 0::BIGINT AS size, true AS is_directory FROM region
+  UNION ALL SELECT 'C', 200 + n_nationkey::BIGINT, 100 + n_regionkey::BIGINT, n_name, 0, true FROM nation
+  UNION ALL SELECT 'C', 1000 + c_custkey, 200 + c_nationkey::BIGINT, c_name, 7, false FROM customer
+), head AS (SELECT ceil((max(mft_index) + 1) / 4)::BIGINT * 4096 AS size FROM small)
+"""
+IMAGE_SQL = f"WITH {SMALL_SQL} {RICH_SQL.format('small')} UNION ALL SELECT 'C', 0, 5, '$MFT', size, false FROM head"
+
+
+def small_image(spark: SparkSession, sf_dir: str) -> str:
+    """Path of an image, in the shared folder, of regions, nations and customers."""
+    c = F.col
+    level = lambda name, index, parent, label, size, directory: tables.table(spark, sf_dir, name).select(F.lit("C").alias("volume"), index.cast("long").alias("mft_index"), parent.cast("long").alias("parent"), label.alias("name"), F.lit(size).cast("long").alias("size"), F.lit(directory).alias("is_directory"))
+    files = level("region", 100 + c("r_regionkey"), F.lit(ROOT), c("r_name"), 0, True)
+    files = files.unionByName(level("nation", 200 + c("n_nationkey"), 100 + c("n_regionkey"), c("n_name"), 0, True)).unionByName(level("customer", 1000 + c("c_custkey"), 200 + c("c_nationkey"), c("c_name"), 7, False))
+    slots = files.agg(F.max("mft_index") + 1).first()[0]
+    path = f"{storage.work_path(spark, 'image')}/c.img"
+    images.write_image(storage.materialise(rich_records(files), "records"), path, slots)
+    return path
+
+
+@query(IMAGE_SQL)
+def mft_source(spark, sf_dir):
+    """An image through ``format("mft")``: bootstrap, run split, ranges read in parallel, records decoded."""
+    register_sources(spark)
+    return spark.read.format("mft").options(path=small_image(spark, sf_dir), groups=5).load().drop("torn")
+
+
+@query(IMAGE_SQL)
+def mft_hadoop(spark, sf_dir):
+    """The same through Hadoop's input format, for stores that only Spark reads."""
+    return records.decode_records(images.read_image(spark, small_image(spark, sf_dir))).drop("torn")
+
+
+@query("SELECT * FROM (VALUES ('C', 'region'), ('E', 'nation'), ('Q', 'customer')) AS v(volume, name)")
+def list_volumes(spark, sf_dir):
+    """The configured volumes that are there."""
+    configured = {"q": "customer", "c": "region", "d": "no_such_volume", "e": "nation"}
+    found = lookup.list_volumes(spark, {letter: f"{sf_dir}/{name}.parquet" for letter, name in configured.items()})
+    return found.select("volume", F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"))
 
 
 @query(f"WITH {FILES} SELECT count(*) AS n_files FROM files")
@@ -251,6 +323,35 @@ def journal_roundtrip(spark, sf_dir):
     return frames.decode_journal(frames.encode_journal(tables.journal(spark, sf_dir), following=1 << 40))
 
 
+JOURNAL_SQL = "SELECT 'C' AS volume, event_id AS usn, CASE event_type WHEN 'signup' THEN 256 WHEN 'error' THEN 512 WHEN 'click' THEN 4096 ELSE 8192 END::BIGINT AS reason, user_id AS file_ref, 5::BIGINT AS parent_ref, 0::BIGINT AS file_attributes, 'n' || event_id AS name FROM events WHERE event_type <> 'purchase'"
+
+
+def written_journal(spark: SparkSession, sf_dir: str) -> str:
+    path = f"{storage.work_path(spark, 'journal')}/journal"
+    tables.journal(spark, sf_dir).write.parquet(path)
+    return path
+
+
+@query(f"SELECT * FROM ({JOURNAL_SQL}) WHERE usn >= 100 AND usn < 5000")
+def journal_source(spark, sf_dir):
+    """A journal through ``format("fsjournal")`` in batch, its bounds pushed down."""
+    register_sources(spark)
+    return spark.read.format("fsjournal").option("path", written_journal(spark, sf_dir)).load().where("usn >= 100 and usn < 5000")
+
+
+@query(JOURNAL_SQL)
+def journal_table(spark, sf_dir):
+    """The same files through Spark's own reader, from any store it reads."""
+    return read_journal(spark, written_journal(spark, sf_dir))
+
+
+@query("SELECT event_id AS usn, CASE WHEN following <> 0 AND following >= event_id THEN following ELSE event_id END AS cursor FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN event_id - 7 ELSE event_id + event_id % 9 END AS following FROM events)")
+def cursor_guard(spark, sf_dir):
+    """Where a reader goes on after each buffer."""
+    following = F.when(F.col("event_id") % 4 == 0, F.lit(0)).when(F.col("event_id") % 4 == 1, F.col("event_id") - 7).otherwise(F.col("event_id") + F.col("event_id") % 9)
+    return tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("usn"), frames.cursor_after(following, F.col("event_id")).alias("cursor"))
+
+
 # a queue per record is what the running balance, reset at zero, counts: written as sums of its own
 PAIRING_SQL = f"""
 WITH s AS (SELECT usn, mft_index, CASE event_type WHEN 'click' THEN 1 ELSE -1 END AS d FROM ({_EVENT}) WHERE event_type IN ('click', 'view')),
@@ -265,7 +366,20 @@ def rename_pairing(spark, sf_dir):
     return changes.pair_renames(changes.events(tables.journal(spark, sf_dir))).select("usn", "mft_index", "name")
 
 
-@query()
+#: The queue as a list: an old name joins its end (the first leaves a full one), a new name takes its record's first place.
+CAPPED_SQL = """
+WITH e AS (SELECT event_id AS usn, user_id AS id, event_type = 'click' AS old FROM events WHERE event_type IN ('click', 'view')),
+log AS (SELECT [{'queue': []::BIGINT[], 'matched': []::BIGINT[], 'usn': -1::BIGINT, 'id': -1::BIGINT, 'old': true}] || list({'queue': []::BIGINT[], 'matched': []::BIGINT[], 'usn': usn, 'id': id, 'old': old} ORDER BY usn) AS steps FROM e),
+done AS (SELECT list_reduce(steps, lambda s, x: {
+  'queue': CASE WHEN x.old THEN list_append(CASE WHEN len(s.queue) >= 2000 THEN s.queue[2:] ELSE s.queue END, x.id)
+                WHEN list_contains(s.queue, x.id) THEN list_concat(s.queue[:list_position(s.queue, x.id) - 1], s.queue[list_position(s.queue, x.id) + 1:]) ELSE s.queue END,
+  'matched': CASE WHEN NOT x.old AND list_contains(s.queue, x.id) THEN list_append(s.matched, x.usn) ELSE s.matched END, 'usn': x.usn, 'id': x.id, 'old': x.old}) AS last FROM log),
+hit AS (SELECT unnest(last.matched) AS usn FROM done)
+SELECT usn, id AS mft_index, 'n' || usn AS name FROM hit JOIN e USING (usn)
+"""
+
+
+@query(CAPPED_SQL)
 def rename_pairing_capped(spark, sf_dir):
     return changes.pair_renames_bounded(changes.events(tables.journal(spark, sf_dir))).select("usn", "mft_index", "name")
 
@@ -346,25 +460,45 @@ def live_stream_loaded(spark, sf_dir):
     return streamed(spark, sf_dir, customer.select(F.lit("C").alias("volume"), F.col("c_custkey").alias("mft_index"), F.lit(ROOT).cast("long").alias("parent"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("size"), F.lit(False).alias("is_directory")))
 
 
-def streamed(spark: SparkSession, sf_dir: str, initial: DataFrame | None = None) -> DataFrame:
+@query(LIVE_SQL + """
+born AS (SELECT j.id, min(j.usn) AS usn FROM j LEFT JOIN gone g USING (id) WHERE j.t = 'signup' AND j.usn > coalesce(g.last, -1) GROUP BY j.id)
+SELECT 'C' AS volume, born.id AS mft_index, 5::BIGINT AS parent, 'n' || coalesce((SELECT max(r.usn) FROM ren r WHERE r.id = born.id AND r.usn > born.usn), born.usn) AS name, 0::BIGINT AS size, false AS is_directory FROM born
+""")
+def journal_stream(spark, sf_dir):
+    """The journal through ``format("fsjournal")`` as a stream of bounded batches, snapshots on the way."""
+    register_sources(spark)
+    path = written_journal(spark, sf_dir)
+    usns = tables.table(spark, sf_dir, "events").agg(F.max("event_id") + 1).first()[0]
+    stream = spark.readStream.format("fsjournal").options(path=path, startingUsn="earliest", maxPerBatch=-(-usns // 4)).load()
+    return followed(spark, stream, path, usns)
+
+
+def followed(spark: SparkSession, stream: DataFrame, path: str, end: int) -> DataFrame:
+    """Runs the stream until it has read up to USN ``end``; the table from the last snapshot and the tail."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     live.use_rocksdb(spark)
-    folder = work_folder(spark)
     try:
-        tables.journal(spark, sf_dir).write.parquet(f"{folder}/journal")
-        stream = spark.readStream.schema(tables.journal(spark, sf_dir).schema).parquet(f"{folder}/journal")
-        live.follow(stream, f"{folder}/outcomes", f"{folder}/checkpoint", {"availableNow": True}, initial=initial).awaitTermination()
+        query = live.follow(stream, f"{path}-outcomes", f"{path}-checkpoint", {"processingTime": "0 seconds"}, snapshot_every=2)
+        try:
+            while query.isActive and not (query.lastProgress and str(query.lastProgress["sources"][0]["endOffset"]).find(str(end)) >= 0):
+                query.processAllAvailable()
+        finally:
+            query.stop()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return live.snapshot(live.read_outcomes(spark, f"{folder}/outcomes"), initial)
+    return live.current(spark, f"{path}-outcomes")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder under the shared one, or a temporary one on a single machine."""
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/live-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="volumetrix-live-")
+def streamed(spark: SparkSession, sf_dir: str, initial: DataFrame | None = None) -> DataFrame:
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    live.use_rocksdb(spark)
+    path = written_journal(spark, sf_dir)
+    try:
+        stream = spark.readStream.schema(tables.journal(spark, sf_dir).schema).parquet(path)
+        live.follow(stream, f"{path}-outcomes", f"{path}-checkpoint", {"availableNow": True}, initial=initial).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return live.current(spark, f"{path}-outcomes", initial)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

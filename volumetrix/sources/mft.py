@@ -2,7 +2,8 @@
 
 Options: path (several images: comma-separated), volume (letters in the same order, default C),
 bytesPerCluster, bytesPerRecord, bytesPerSector, mftStartLcn, groups. The driver reads record 0 only,
-to learn where the table lies; ranges are dealt to tasks in whole clusters and records.
+to learn where the table lies; ranges are dealt to tasks in whole clusters and records. Paths may be
+URIs of any file system that Arrow opens (file, s3, gs, abfs, hdfs); ``images.read_image`` reads others.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import decode
 from ..operators.runs import split_runs
+from .files import opened
+from .images import table_ranges
 
 SCHEMA = "volume string, mft_index bigint, parent bigint, name string, size bigint, is_directory boolean, torn boolean"
 BATCH = 4096
@@ -43,12 +46,9 @@ class MftReader(DataSourceReader):
         out: list[InputPartition] = []
         unit = math.lcm(self.cluster, self.record)
         for volume, path in zip(self.volumes, self.paths):
-            with open(path, "rb") as image:
+            with opened(path) as image:
                 image.seek(self.start * self.cluster)
-                record, _ = decode.fixup(image.read(self.record), self.sector)
-            runs = decode.data_ranges(record, self.cluster)
-            if runs is None:
-                raise ValueError(f"{path}: record 0 has no data attribute")
+                runs = table_ranges(image.read(self.record), self.cluster, self.sector, path)
             total = sum(b - a for a, b in runs)
             # a last part that is no whole unit goes with the last group
             whole, at = [], 0
@@ -66,7 +66,7 @@ class MftReader(DataSourceReader):
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         index, rows, rest = partition.first, [], b""
-        with open(partition.path, "rb") as image:
+        with opened(partition.path) as image:
             for a, b in partition.ranges:
                 while a < b:
                     image.seek(a)

@@ -2,8 +2,10 @@
 
 Per volume, a stateful processor holds the table and the queue of pending renames in the state store
 (RocksDB), orders each batch by USN, and replays it record by record: the exact semantics, parents
-included. It emits every change with its outcome; ``snapshot`` reduces those rows to the table, and
-``follow`` writes them, with rejects apart, and runs a callback per batch.
+included. It emits every change with its outcome. ``follow`` writes a folder of outcomes per batch
+and, every few batches, folds those since the last snapshot into the next one, so that ``current``
+reads one snapshot and a short tail, however long the journal has run. ``outcomes`` folders stay for
+the rejects.
 """
 
 from __future__ import annotations
@@ -16,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from .. import storage
 from ..operators.changes import RenameQueue, events
-from ..schema import PENDING_RENAMES, ROOT
+from ..schema import FILES, PENDING_RENAMES, ROOT
 
 OUTCOMES = "volume string, usn bigint, op string, mft_index bigint, parent bigint, name string, size bigint, is_directory boolean, rejected string"
+#: Batches between two snapshots.
+SNAPSHOT_EVERY = 20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -96,16 +101,20 @@ def rejects(applied: DataFrame) -> DataFrame:
     return applied.where("rejected is not null").select("volume", "usn", "op", "mft_index", F.col("rejected").alias("reason"))
 
 
-def follow(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, refreshed: Callable[[int], None] | None = None, initial: DataFrame | None = None) -> StreamingQuery:
+def follow(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, refreshed: Callable[[int], None] | None = None, initial: DataFrame | None = None, snapshot_every: int = SNAPSHOT_EVERY
+) -> StreamingQuery:
     """Appends outcomes to Parquet under ``path``, a folder per batch so that a retried batch replaces itself.
 
-    ``initial`` is the table the journal starts from, loaded into the state before the first batch.
-
-    ``trigger`` defaults to one batch a second; ``refreshed`` is called with each batch number.
+    ``initial`` is the table the journal starts from, loaded into the state before the first batch and
+    part of every snapshot. ``trigger`` defaults to one batch a second; ``refreshed`` is called with
+    each batch number, once the batch is to be seen by ``current``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if (number + 1) % snapshot_every == 0:
+            write_snapshot(batch.sparkSession, path, number, initial)
         if refreshed:
             refreshed(number)
 
@@ -114,4 +123,29 @@ def follow(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None =
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OUTCOMES + ", batch int").parquet(path).drop("batch")
+    return spark.read.schema(OUTCOMES + ", batch int").option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
+def snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose snapshot is whole, in order: its success marker is written last."""
+    found = [int(x.split("=")[1]) for x in storage.folders(spark, f"{path}/snapshots") if x.startswith("upto=")]
+    return sorted(n for n in found if storage.exists(spark, f"{path}/snapshots/upto={n}/_SUCCESS"))
+
+
+def current(spark: SparkSession, path: str, initial: DataFrame | None = None, upto: int | None = None) -> DataFrame:
+    """The table now (or after batch ``upto``): the last snapshot, and the outcomes of the batches since."""
+    done = [n for n in snapshots(spark, path) if upto is None or n <= upto]
+    base = spark.read.schema(FILES).parquet(f"{path}/snapshots/upto={done[-1]}") if done else initial
+    batches = (int(x.split("=")[1]) for x in storage.folders(spark, path) if x.startswith("batch="))
+    tail = [f"{path}/batch={n}" for n in sorted(batches) if n > (done[-1] if done else -1) and (upto is None or n <= upto)]
+    if not tail:
+        return base if base is not None else spark.createDataFrame([], FILES)
+    return snapshot(spark.read.schema(OUTCOMES).parquet(*tail), base).select("volume", "mft_index", "parent", "name", "size", "is_directory")
+
+
+def write_snapshot(spark: SparkSession, path: str, number: int, initial: DataFrame | None = None, keep: int = 2) -> None:
+    """The table after batch ``number``, from the snapshot before it; readers of that one are not disturbed, older ones go."""
+    before = [n for n in snapshots(spark, path) if n < number]
+    current(spark, path, initial, number).write.mode("overwrite").parquet(f"{path}/snapshots/upto={number}")
+    for n in before[: max(0, len(before) + 1 - keep)]:
+        storage.remove(spark, f"{path}/snapshots/upto={n}")
