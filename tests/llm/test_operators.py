@@ -243,6 +243,15 @@ def test_licenses(spark):
     assert all(re.search(license_scan.CUES, s[ids[0]]) for _, ids in license_scan.RULES)
 
 
+def test_licenses_of_padded_sentences(spark):
+    """Any filling around and inside a sentence, and other sentences of any length, hide nothing."""
+    line = license_scan.SENTENCES["apache-line"]
+    texts = ["#" * 5000 + " " + line, line.replace(" ", " " * 1000), "/" * 100_000 + line + "*" * 2000, "x" * 50_000 + ".\n" + line, "// SPDX-License-Identifier: AGPL-3.0-only", "word. " * 7]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
+    assert [got[k].licenses for k in range(6)] == ["Apache-2.0"] * 4 + ["AGPL-3.0-only", ""]
+    assert [got[k].n_sentences for k in (3, 4, 5)] == [2, 1, 8]
+
+
 def test_licenses_of_both_readings(spark):
     """Wrapped and unwrapped notices in one text are all found, and no rule sees a sentence twice."""
     s = license_scan.SENTENCES
@@ -269,9 +278,11 @@ def test_licenses_wrapped_at_any_blank(spark):
 # exact dedup
 
 
-@pytest.mark.parametrize("bits", [exact_dedup.MAX_BITS, exact_dedup.MIN_BITS])
+@pytest.mark.parametrize("bits", [exact_dedup.MAX_BITS, 1 << 11])
 def test_exact_groups(spark, bits):
+    """With one plane, and with ranges that have a plane each."""
     texts = corpus(n=400)
+    assert (exact_dedup.ranges_for(len(texts), bits) > 2) == (bits == 1 << 11)
     rows = exact_dedup.exact_groups(frame(spark, texts), max_bits=bits).collect()
     groups = defaultdict(list)
     for k, t in enumerate(texts):

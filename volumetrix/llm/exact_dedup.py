@@ -5,8 +5,9 @@ bits that it has set before; planes merge in a tree, a bit set on both sides mov
 plane. Pass two: a text is possibly repeated only if both its bits are in the merged second plane.
 Those rows alone are shuffled, by SHA-256, to be settled exactly; all others pass straight through.
 
-The filter has 16 bits a row up to ``MAX_BITS``, which bounds what is merged and broadcast (32 MB);
-beyond that more unique rows take the exact way, with the same result.
+The filter has 16 bits a row. A plane has at most ``MAX_BITS`` (32 MB to merge and broadcast); more
+rows are dealt by a hash into ranges that each have a plane of their own, one after the other, so the
+filter grows with the data and what is broadcast at once does not.
 
 Edge cases: a null text counts as empty. Ties: of rows with one doc_id and one text exactly one stays.
 A null doc_id is the smallest. Other columns are carried by ``drop_exact_duplicates`` and never read.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import materialise
 
-BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 13, 1 << 28
+BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 11, 1 << 28
 
 
 def filter_bits(rows: int, most: int = MAX_BITS) -> int:
@@ -96,15 +97,31 @@ def digest(text: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
+def ranges_for(rows: int, max_bits: int) -> int:
+    return max(1, -(-rows * BITS_PER_ROW // max_bits))
+
+
+def marked(rows: DataFrame, hashes: DataFrame, column: str, max_bits: int) -> DataFrame:
+    """``rows`` with ``__vx_maybe``. ``hashes``: the materialised column (long) of all of them, which ``rows`` have too."""
+    total = hashes.count()
+    n = ranges_for(total, max_bits)
+    if n == 1:
+        return rows.withColumn("__vx_maybe", possibly_repeated(hashes, column, filter_bits(total, max_bits))(F.col(column)))
+    own, out = F.pmod(F.xxhash64(F.lit(3), F.col(column)), F.lit(n)), []
+    for k in range(n):
+        maybe = possibly_repeated(hashes.where(own == k), column, max_bits)
+        out.append(materialise(rows.where(own == k).withColumn("__vx_maybe", maybe(F.col(column))), "exact-marked"))
+    return rows.sparkSession.read.schema(out[0].schema).parquet(*[x._vx_path for x in out])
+
+
 def exact_groups(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document row: doc_id, keep_id, group_size, kept, text_sha256."""
     own = docs.select("doc_id", digest(text).alias("text_sha256"))
     own = materialise(own.withColumn("h", F.xxhash64("text_sha256")), "exact-digests")
-    maybe = possibly_repeated(own, "h", filter_bits(own.count(), max_bits))
-    marked = own.withColumn("maybe", maybe("h"))
-    through = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    known = marked(own, own, "h", max_bits)
+    through = known.where("not __vx_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     # rows that repeat id and text are one until the end, so the join with the groups has nothing above it and may be split
-    again = marked.where("maybe").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    again = known.where("__vx_maybe").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
     groups = again.groupBy(F.col("text_sha256").alias("__vx_sha")).agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     groups = materialise(groups, "exact-groups")  # written, so that both sides of the join are plain shuffles, which can be split
     joined = again.join(groups, F.col("text_sha256") == F.col("__vx_sha")).drop("__vx_sha").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
@@ -115,10 +132,9 @@ def exact_groups(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS)
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The documents that stay, with their own columns; texts of unique rows are not shuffled."""
-    hashes = materialise(docs.select(F.xxhash64(digest(text)).alias("h")), "exact-hashes")
-    maybe = possibly_repeated(hashes, "h", filter_bits(hashes.count(), max_bits))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__vx_row"), digest(text).alias("__vx_sha"))
-    marked = marked.withColumn("__vx_maybe", maybe(F.xxhash64("__vx_sha")))
-    unique = marked.where("not __vx_maybe").select("__vx_row.*")
-    again = marked.where("__vx_maybe").groupBy("__vx_sha").agg(F.max_by("__vx_row", F.coalesce(F.col("__vx_row.doc_id"), F.lit(-(1 << 63)))).alias("__vx_row"))
+    hashes = materialise(docs.select(F.xxhash64(digest(text)).alias("__vx_h")), "exact-hashes")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__vx_row"), digest(text).alias("__vx_sha")).withColumn("__vx_h", F.xxhash64("__vx_sha"))
+    known = marked(rows, hashes, "__vx_h", max_bits)
+    unique = known.where("not __vx_maybe").select("__vx_row.*")
+    again = known.where("__vx_maybe").groupBy("__vx_sha").agg(F.max_by("__vx_row", F.coalesce(F.col("__vx_row.doc_id"), F.lit(-(1 << 63)))).alias("__vx_row"))
     return unique.unionByName(again.select("__vx_row.*"))

@@ -9,8 +9,9 @@ reading with more known sentences counts, by lines if equal. Where the other rea
 besides, they are put in their places: a joined sentence that is known counts as one, and a joined
 sentence that is not is read by lines if it has a known line.
 
-Edge cases: a null or empty text has one empty sentence and no licence. Repeated rows are scanned
-each. Other columns are never read.
+Edge cases: a null or empty text has one empty sentence and no licence. Sentences of any length are
+normalised before they are looked up, so filling around or inside a known one does not hide it.
+Repeated rows are scanned each. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 GAP = 2
 UNKNOWN = "?"
 #: Only texts that hold one of these are cut into sentences; every known sentence holds one, wrapped or not.
-CUES = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public[^a-z0-9]+domain|all[^a-z0-9]+rights[^a-z0-9]+reserved|copy[^a-z0-9]+of[^a-z0-9]+the[^a-z0-9]+mpl"
+CUES = r"(?i)licen[cs]|copyright|warrant|redistribut|permission|public[^a-z0-9]+domain|all[^a-z0-9]+rights[^a-z0-9]+reserved|copy[^a-z0-9]+of[^a-z0-9]+the[^a-z0-9]+mpl|held[^a-z0-9]+liable"
 
 #: Sentences of public licence texts and notices, by identifier.
 SENTENCES: dict[str, str] = {
@@ -61,7 +62,28 @@ SENTENCES: dict[str, str] = {
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-nc-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "cc-by-nd-line": "Licensed under CC BY-ND 4.0.",
+    "isc-line": "Licensed under the ISC License.",
+    "mpl-line": "Licensed under the Mozilla Public License 2.0.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3-line": "Licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-line": "Licensed under the GNU Affero General Public License, version 3.",
+    "epl2-head": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "epl2-line": "Licensed under the Eclipse Public License 2.0.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-line": "Licensed under the zlib License.",
+    "boost-line": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
 }
+#: Identifiers of the public licence list, which files name in a line of their own.
+SPDX = (
+    "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "Zlib", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0",
+)
+SENTENCES |= {f"spdx-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 
 #: Rules in the order they are tried: licence, identifiers in order.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -73,8 +95,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache-head", "apache-use", "apache-copy", "apache-as-is")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty")),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-warranty")),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-warranty")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-warranty")),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-warranty")),
     ("LGPL-2.1-or-later", ("lgpl-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
     ("MPL-2.0", ("mpl-head", "mpl-copy")),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
     ("MIT", ("mit-grant",)),
     ("MIT", ("mit-line",)),
     ("MIT", ("mit-line-2",)),
@@ -98,6 +126,17 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-NC-4.0", ("cc-by-nc-line",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-long",)),
     ("CC-BY-ND-4.0", ("cc-by-nd-line",)),
+    ("ISC", ("isc-line",)),
+    ("MPL-2.0", ("mpl-line",)),
+    ("LGPL-3.0-only", ("lgpl3-line",)),
+    ("AGPL-3.0-only", ("agpl3-line",)),
+    ("EPL-2.0", ("epl2-head",)),
+    ("EPL-2.0", ("epl2-line",)),
+    ("Zlib", ("zlib-grant",)),
+    ("Zlib", ("zlib-line",)),
+    ("BSL-1.0", ("boost-line",)),
+    ("BSL-1.0", ("boost-grant",)),
+    *((x, (f"spdx-{x}",)) for x in SPDX),
     ("proprietary", ("all-rights",)),
 )
 
@@ -135,7 +174,7 @@ def sentence_ids(text: Column) -> Column:
     known = table()
     names = F.array(*[F.lit(x) for x in known])
     ids = F.array(*[F.lit(x) for x in known.values()])
-    at = F.transform(F.split(text, BREAK), lambda s: F.when((F.length(s) >= 5) & (F.length(s) <= 1000), F.array_position(names, normalised(s))).otherwise(F.lit(0)))
+    at = F.transform(F.split(text, BREAK), lambda s: F.array_position(names, normalised(s)))
     return F.transform(at, lambda k: F.when(k > 0, F.element_at(ids, k.cast("int"))).otherwise(F.lit(UNKNOWN)))
 
 
@@ -151,7 +190,7 @@ def rule_pattern(ids: tuple[str, ...], gap: int) -> str:
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", gap: int = GAP) -> DataFrame:
-    """doc_id, n_sentences (of texts with a cue, else 0), sentence_ids, licenses (in rule order, joined by commas), license (the first)."""
+    """doc_id, n_sentences, sentence_ids, licenses (in rule order, joined by commas), license (the first)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
     read = docs.select("doc_id", whole.alias("whole"), F.when(whole.rlike(CUES), sentence_ids(whole)).otherwise(none).alias("lines"), F.when(whole.rlike(CUES), sentence_ids(F.regexp_replace(whole, WRAP, " "))).otherwise(none).alias("joined"))
@@ -159,9 +198,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", gap: int = GAP) -> DataFr
     more = known("joined") > known("lines")
     names_of = lambda c: F.filter(c, lambda x: x != UNKNOWN)
     differ = (known("joined") > 0) & (known("lines") > 0) & (names_of("joined") != names_of("lines"))
-    found = read.select("doc_id", F.when(more, F.col("joined")).otherwise(F.col("lines")).alias("one"), F.when(differ, both_readings(F.col("whole"), ~more)).alias("both"))
-    found = found.select("doc_id", F.when(F.col("both").isNotNull() & (known("both") > known("one")), F.col("both")).otherwise(F.col("one")).alias("ids"))
-    found = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")).alias("line"), F.array_join(F.filter("ids", lambda x: x != UNKNOWN), ",").alias("sentence_ids"))
+    found = read.select("doc_id", "whole", F.when(more, F.col("joined")).otherwise(F.col("lines")).alias("one"), F.when(differ, both_readings(F.col("whole"), ~more)).alias("both"))
+    found = found.select("doc_id", "whole", F.when(F.col("both").isNotNull() & (known("both") > known("one")), F.col("both")).otherwise(F.col("one")).alias("ids"))
+    found = found.select("doc_id", F.when(F.size("ids") > 0, F.size("ids")).otherwise(F.size(F.split("whole", BREAK))).cast("long").alias("n_sentences"), F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" ")).alias("line"), F.array_join(F.filter("ids", lambda x: x != UNKNOWN), ",").alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rule_pattern(ids, gap)).alias("pattern")) for name, ids in RULES])
     start = F.struct(F.col("line").alias("line"), F.array().cast("array<string>").alias("names"))
     step = lambda s, r: F.when(F.regexp_like(s["line"], r["pattern"]), F.struct(F.regexp_replace(s["line"], r["pattern"], "-").alias("line"), F.array_union(s["names"], F.array(r["name"])).alias("names"))).otherwise(s)

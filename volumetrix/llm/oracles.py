@@ -108,7 +108,7 @@ def license_scan_sql() -> str:
 {name}_row AS (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM {name}_cut),
 {name} AS (
   SELECT r, count(*) AS n, count(known.id) AS hits, string_agg(' ' || coalesce(known.id, '?') || ' ', '' ORDER BY pos) AS line, coalesce(string_agg(known.id, ',' ORDER BY pos), '') AS ids
-  FROM {name}_row LEFT JOIN known ON known.s = trim(regexp_replace(lower({name}_row.s), '[^a-z0-9]+', ' ', 'g'), ' ') AND length({name}_row.s) BETWEEN 5 AND 1000 GROUP BY r
+  FROM {name}_row LEFT JOIN known ON known.s = trim(regexp_replace(lower({name}_row.s), '[^a-z0-9]+', ' ', 'g'), ' ') GROUP BY r
 )"""
     # a wrapped line's end has no line end on either side; its neighbours stay
     joined = r"regexp_replace(regexp_replace(t, '([^\r\n])\r?\n([^\r\n])', '\1 \2', 'g'), '([^\r\n])\r?\n([^\r\n])', '\1 \2', 'g')"
@@ -128,7 +128,7 @@ rule_0 AS (
   FROM lines l JOIN joined j USING (r)
 ),
 {", ".join(steps)}
-SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(names, ','), '') AS licenses, names[1] AS license
+SELECT doc_id, coalesce(n, len(string_split_regex(regexp_replace(d.t, '([.!?])[ \t]+', '\1' || chr(1), 'g'), '\x01|[\r\n]+'))) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(names, ','), '') AS licenses, names[1] AS license
 FROM d LEFT JOIN {at} USING (r)
 """
 
