@@ -312,26 +312,63 @@ def brute_forward(model, word):
         for j in range(1, len(w) + 1):
             for i in range(max(0, j - language_id.PIECE_CHARS), j):
                 p = known.get(w[i:j])
-                a[j] += a[i] * (model.probs[p, k] if p is not None else language_id.OUTSIDE if j - i == 1 else 0.0)
+                a[j] += a[i] * (model.table[p, k] if p is not None else language_id.OUTSIDE if j - i == 1 else 0.0)
         out.append(math.log(a[-1]))
     return out
 
 
+def brute_identify(model, text):
+    """Prediction and posterior of a text, word by word."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    total = np.sum([brute_forward(model, w) for w in words], axis=0)
+    return model.langs[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model = language_id.fit(docs.where(~language_id.held_out()))
+    labelled = docs.where(~language_id.held_out())
+    model, = language_id.fit(labelled)
     words = ["the", "étrechai", "x", "日本", "a" * 20, "thoringthand" * 3]
     assert np.allclose(model.word_scores(words), [brute_forward(model, w) for w in words])
-    rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    rows = language_id.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
     assert len(rows) == docs.count()
     assert all((zlib.crc32(str(r.doc_id).encode()) % 3 == 1) == r.held_out and 0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
-    odd = language_id.predict(frame(spark, [None, "", "12 % ² Ⅷ", LONG]), model, language_id.F.col("doc_id")).collect()
-    assert {r.doc_id: r.lang_pred for r in odd if r.doc_id < 3} == {0: "und", 1: "und", 2: "und"}
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:40]:
+        lang, score = brute_identify(model, r.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-3)
+    odd = language_id.predict(frame(spark, [None, "", "12 % ² Ⅷ", LONG, "日本" * 20_000]), iter([model]), language_id.F.col("doc_id")).collect()
+    assert {r.doc_id: r.lang_pred for r in odd if r.doc_id < 3} == {0: "und", 1: "und", 2: "und"} and len(odd) == 5
     assert language_id.identify(frame(spark, ["abc", "def"], langs=[None, None])).select("lang_pred").distinct().collect() == [("und",)]
 
 
+def test_language_id_counts_pieces(spark):
+    """The model's probabilities are smoothed counts of the labelled texts' pieces; a small cache changes nothing."""
+    texts, langs = ["The cat, the dog.", "der Hund und der Hund", "le chien", "the end"], ["en", "de", "fr", "en"]
+    model, = language_id.fit(frame(spark, texts, langs=langs))
+    pieces, _ = language_id._pieces(model.path)
+    for k, lang in enumerate(model.langs):
+        seen = Counter(p for t, la in zip(texts, langs) if la == lang for w in re.findall(r"[^\W\d_]+", t.lower()) for p in pieces.encode(w))
+        total = sum(seen.values()) + language_id.SMOOTHING * pieces.get_piece_size()
+        assert all(model.table[p, k] == pytest.approx((n + language_id.SMOOTHING) / total) for p, n in seen.items())
+    small = language_id.Model(model.langs, model.table[:-2], model.path, cells=9)
+    parts = [["the cat", "der Hund"], ["le chien the", None], ["the end of the cat and the dog der"], ["der"]]
+    assert all((x is None) == (y is None) and (x is None or np.allclose(x, y)) for p in parts for x, y in zip(small.totals(p), model.totals(p)))
+
+
+@pytest.mark.parametrize("block", [256, 500, 2000])
+def test_language_id_of_many_languages(spark, block):
+    """None of 1,200 languages is left out; blocks of languages give what one block gives."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(1200)]
+    docs = frame(spark, [f"{w} " * 5 for w in words] + [None], langs=[f"l{k:04d}" for k in range(1200)] + ["x"])
+    rows = language_id.predict(docs, language_id.fit(docs, block=block), language_id.F.col("doc_id")).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id:04d}" for r in rows) >= 1190 and all(0 < r.score <= 1 for r in rows if r.doc_id < 1200)
+
+
 # secrets
 
 

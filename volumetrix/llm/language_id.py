@@ -5,17 +5,20 @@ A word's probability in a language is the sum over all its segmentations into pi
 algorithm); a text's score is the sum of its words' log probabilities, and the prediction the
 language with the highest, score being its posterior under equal priors.
 
-Fitting reads at most about ``TRAIN_DOCS`` labelled texts per language, chosen by a hash of doc_id, of at
-most ``MAX_LANGS`` languages, which bounds what is collected and broadcast (vocabulary x languages);
-prediction reads every whole text. Distinct words of a batch are scored once.
+Fitting reads at most about ``TRAIN_DOCS`` labelled texts per language, chosen by a hash of doc_id, of
+every language there is. Languages are scored in blocks of ``BLOCK_LANGS``, which bounds what is
+collected and broadcast at once (vocabulary x block); up to one block, prediction is one map-only
+pass, beyond it a pass per block that carries the best so far. Every whole text is read; words are
+scored once per worker while they stay in its bounded cache.
 
 Edge cases: a text that is null or has no letters (number signs like ² are none) is ``und`` with score 0; so is every text if no
-labelled text has a word. Ties go to the first language in code point order. Repeated rows are
+labelled text has a word. Words of any length keep only the last ``PIECE_CHARS`` positions. Ties go to the first language in code point order. Repeated rows are
 predicted each. Other columns are never read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,11 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import join_checked, materialise
 from .token_encoder import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
-TRAIN_DOCS, MAX_LANGS, SMOOTHING = 4000, 1000, 0.1
+TRAIN_DOCS, SMOOTHING = 4000, 0.1
+#: Languages scored at once; numbers (words x languages) that a step, and the cache of word scores, hold.
+BLOCK_LANGS, STEP_CELLS, CACHE_CELLS = 256, 200_000, 1_200_000
 UNKNOWN = "und"
 #: Longest word whose segmentations are summed in plain floating point; longer ones are rescaled on the way.
 PLAIN_CHARS, PIECE_CHARS = 24, 16
@@ -58,9 +65,9 @@ def _pieces(path: str):
 def bounded(labelled: DataFrame, per_lang: int) -> DataFrame:
     """About ``per_lang`` rows of each language: those whose hash of doc_id falls below the share asked for."""
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = sizes.select(F.col("lang").alias("__vx_lang"), (F.lit(float(per_lang)) / F.col("n")).alias("share"))
+    share = materialise(sizes.select("lang", (F.lit(float(per_lang)) / F.col("n")).alias("share")), "lang-shares")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("doc_id")), 11) / F.lit(float(1 << 53))
-    return labelled.join(F.broadcast(share.limit(MAX_LANGS)), F.col("lang") == F.col("__vx_lang")).where(draw < F.col("share")).drop("__vx_lang", "share")
+    return join_checked(labelled, share, "lang").where(draw < F.col("share")).drop("share")
 
 
 def piece_counts(labelled: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -95,94 +102,118 @@ def piece_counts(labelled: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
 
 class Model:
-    """Languages, and the probability of each vocabulary piece in each of them."""
+    """Some languages, and the probability of each vocabulary piece in each of them."""
 
-    def __init__(self, langs: list[str], probs: np.ndarray, path: str):
-        self.langs, self.probs, self.path = langs, probs, path
+    def __init__(self, langs: list[str], probs: np.ndarray, path: str, cells: int = CACHE_CELLS):
+        self.langs, self.path = langs, path
+        self.table = np.vstack([probs, np.zeros(len(langs)), np.full(len(langs), OUTSIDE)])  # then: no piece, a character outside
+        self.places: dict[str, int] = {}
+        self.store, self.room = np.empty((0, len(langs))), max(1, cells // max(1, len(langs)))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word (rows) in each language (columns), over all segmentations."""
-        known = _pieces(self.path)[1]
         out = np.empty((len(words), len(self.langs)))
         by_size: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_size.setdefault(len(w) + 1, []).append(k)
-        table = np.vstack([self.probs, np.zeros(len(self.langs)), np.full(len(self.langs), OUTSIDE)])
-        none, outside = len(self.probs), len(self.probs) + 1
-        get = known.get
+        step = max(1, STEP_CELLS // max(1, len(self.langs)))
         for size, at in by_size.items():
-            for some in (at[k : k + 50_000] for k in range(0, len(at), 50_000)):
-                texts = [_START + words[k] for k in some]
-                alpha = [np.ones((len(some), len(self.langs)))]
-                logs = np.zeros(len(some))
-                for j in range(1, size + 1):
-                    total = np.zeros((len(some), len(self.langs)))
-                    for i in range(max(0, j - PIECE_CHARS), j):
-                        miss = outside if j - i == 1 else none
-                        ids = np.fromiter((get(t[i:j], miss) for t in texts), np.int64, len(texts))
-                        total += alpha[i] * table[ids]
-                    alpha.append(total)
-                    if size > PLAIN_CHARS and j % 8 == 0:  # rescale what later steps still read
-                        scale = np.maximum(total.max(axis=1), 1e-300)
-                        logs += np.log(scale)
-                        low = max(0, j + 1 - PIECE_CHARS)
-                        alpha[low:] = [a / scale[:, None] for a in alpha[low:]]
-                out[some] = np.log(np.maximum(alpha[-1], 1e-300)) + logs[:, None]
+            for some in (at[k : k + step] for k in range(0, len(at), step)):
+                out[some] = self._scores([_START + words[k] for k in some], size)
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def _scores(self, texts: list[str], size: int) -> np.ndarray:
+        """Words of one length: alpha[j] sums alpha[i] times the probability of the piece from i to j."""
+        get, none, outside = _pieces(self.path)[1].get, len(self.table) - 2, len(self.table) - 1
+        alpha, logs = [np.ones((len(texts), len(self.langs)))], np.zeros(len(texts))  # the last PIECE_CHARS positions
+        for j in range(1, size + 1):
+            first = j - len(alpha)
+            total = np.zeros((len(texts), len(self.langs)))
+            for i, before in enumerate(alpha, first):
+                miss = outside if j - i == 1 else none
+                ids = np.fromiter((get(t[i:j], miss) for t in texts), np.int64, len(texts))
+                total += before * self.table[ids]
+            alpha = [*alpha[1 - PIECE_CHARS :], total]
+            if size > PLAIN_CHARS and j % 8 == 0:  # rescale what later steps still read
+                scale = np.maximum(total.max(axis=1), 1e-300)
+                logs += np.log(scale)
+                alpha = [a / scale[:, None] for a in alpha]
+        return np.log(np.maximum(alpha[-1], 1e-300)) + logs[:, None]
+
+    def _known(self, bags: list[Counter]) -> None:
+        """Makes sure that the words of the bags are in the store; words of batches before go when it is full."""
+        new = list(dict.fromkeys(w for bag in bags for w in bag if w not in self.places))
+        if new and len(self.places) + len(new) > self.room:
+            new = list(dict.fromkeys(w for bag in bags for w in bag))
+            self.places, self.store = {}, self.store[:0]
+        if new:
+            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+            self.store = np.concatenate([self.store, self.word_scores(new)])
+
+    def totals(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        """Per text the log probability in each language; None for a text without letters."""
         bags = [Counter(letters(t.lower())) if t else Counter() for t in texts]
-        order: dict[str, int] = {}
+        if self.langs:
+            self._known(bags)
         for bag in bags:
-            for w in bag:
-                order.setdefault(w, len(order))
-        if not order or not self.langs:
-            return [(UNKNOWN, 0.0)] * len(texts)
-        scores, out = self.word_scores(list(order)), []
-        for bag in bags:
-            if not any(any(map(str.isalpha, w)) for w in bag):
-                out.append((UNKNOWN, 0.0))
-                continue
-            at, n = np.fromiter((order[w] for w in bag), np.int64, len(bag)), np.fromiter(bag.values(), float, len(bag))
-            total = n @ scores[at]
-            best = int(total.argmax())
-            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
-        return out
+            if not self.langs or not any(any(map(str.isalpha, w)) for w in bag):
+                yield None
+            else:
+                at, n = np.fromiter((self.places[w] for w in bag), np.int64, len(bag)), np.fromiter(bag.values(), float, len(bag))
+                yield n @ self.store[at]
 
 
-def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS, vocabulary: str = VOCABULARY, smoothing: float = SMOOTHING) -> Model:
-    """Fit on labelled rows (doc_id, text, lang), nulls left out."""
+def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS, vocabulary: str = VOCABULARY, smoothing: float = SMOOTHING, block: int = BLOCK_LANGS) -> Iterator[Model]:
+    """Models of all languages of the labelled rows (doc_id, text, lang; nulls left out), a block at a time, in code point order."""
     labelled = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    rows = piece_counts(bounded(labelled, per_lang), vocabulary).collect()  # languages x vocabulary at most
+    counted = materialise(piece_counts(bounded(labelled, per_lang), vocabulary), "lang-pieces")
     path = vocabulary_path(vocabulary)
     size = _pieces(path)[0].get_piece_size()
-    langs = sorted({r.lang for r in rows})
-    counts = np.full((size, len(langs)), smoothing)
-    at = {x: k for k, x in enumerate(langs)}
-    for r in rows:
-        counts[r.piece, at[r.lang]] += r.n
-    return Model(langs, counts / counts.sum(axis=0, keepdims=True), path)
+    langs = sorted(r.lang for r in counted.select("lang").distinct().toLocalIterator())  # names alone
+    for k in range(0, len(langs), block):
+        some = langs[k : k + block]
+        at, counts = {x: j for j, x in enumerate(some)}, np.full((size, len(some)), smoothing)
+        rows = counted.where((F.col("lang") >= some[0]) & (F.col("lang") <= some[-1])).toArrow()  # vocabulary x block at most
+        counts[rows["piece"].to_numpy(), [at[x] for x in rows["lang"].to_pylist()]] += rows["n"].to_numpy()
+        yield Model(some, counts / counts.sum(axis=0, keepdims=True), path)
 
 
-def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
-    """``keep`` columns, lang_pred, score; map-only. The model is vocabulary x languages and is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.probs.astype(np.float32), model.path))
-    own = docs.select(*keep, F.col("text").alias("__vx_text"))
-    kept = own.schema.fields[:-1]
+def _pass(rows: DataFrame, model: Model | None, kept: list, last: bool) -> DataFrame:
+    """One block of languages over all rows: the best so far, its total, and the sum of all probabilities over it."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.langs, model.table[:-2].astype(np.float32), model.path)) if model else None
+    state = [T.StructField("lang_pred", T.StringType()), T.StructField("__vx_top", T.DoubleType()), T.StructField("__vx_mass", T.DoubleType())]
+    out = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]) if last else T.StructType([*kept, T.StructField("__vx_text", T.StringType()), *state])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, probs, path = shared.value
-        local = Model(langs, probs.astype(np.float64), path)
+        local = Model(shared.value[0], shared.value[1].astype(np.float64), shared.value[2]) if shared else Model([], np.empty((0, 0)), "")
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                found = local.predict(part.column(len(kept)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[f.name for f in kept] + ["lang_pred", "score"])
-
-    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"]))
-
-
-def identify(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
+            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                langs, tops, masses = (c.to_pylist() for c in part.columns[len(kept) + 1 :])
+                for k, total in enumerate(local.totals(part.column(len(kept)).to_pylist())):
+                    if total is not None:
+                        best = int(total.argmax())
+                        top = max(tops[k], float(total[best]))
+                        masses[k] = masses[k] * math.exp(tops[k] - top) + float(np.exp(total - top).sum())
+                        langs[k] = local.langs[best] if total[best] > tops[k] else langs[k]
+                        tops[k] = top
+                found = [langs, [1 / m if m else 0.0 for m in masses]] if last else [part.column(len(kept)), langs, tops, masses]
+                kinds = (pa.string(), pa.float64()) if last else (pa.string(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *[c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(found, kinds)]], names=out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def predict(docs: DataFrame, models: Iterator[Model], *keep: Column) -> DataFrame:
+    """``keep`` columns, lang_pred, score. Map-only; with several blocks each but the last writes what it has."""
+    rows = docs.select(*keep, F.col("text").cast("string").alias("__vx_text"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("__vx_top"), F.lit(0.0).alias("__vx_mass"))
+    kept = rows.schema.fields[: len(keep)]
+    model = next(models, None)
+    while model is not None and (following := next(models, None)) is not None:
+        rows, model = materialise(_pass(rows, model, kept, last=False), "lang-pass"), following
+    return _pass(rows, model, kept, last=True)
+
+
+def identify(docs: DataFrame, per_lang: int = TRAIN_DOCS, block: int = BLOCK_LANGS) -> DataFrame:
     """doc_id, held_out, lang_pred, score: fitted outside the held-out fold, predicted everywhere."""
-    model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))), per_lang)
-    return predict(docs, model, F.col("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    models = fit(docs.where(~F.coalesce(held_out(), F.lit(False))), per_lang, block=block)
+    return predict(docs, models, F.col("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
