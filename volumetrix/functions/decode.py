@@ -50,37 +50,38 @@ class FileInfo(NamedTuple):
     torn: bool
 
 
+_HEADER, _PAIR, _NAME = struct.Struct("<4xHH12xHHI"), struct.Struct("<II"), struct.Struct("<Q40xQI4xBB")
+
+
 def header(record: bytes) -> Header | None:
     if len(record) < HEADER or record[:4] != MAGIC:
         return None
-    usa_offset, usa_count = struct.unpack_from("<HH", record, 4)
-    first, flags, used = struct.unpack_from("<HHI", record, 20)
-    return Header(usa_offset, usa_count, first, flags, used)
+    return Header._make(_HEADER.unpack_from(record))
 
 
-def fixup(record: bytes, sector: int = 512) -> tuple[bytes, bool]:
+def fixup(record: bytes, sector: int = 512, head: Header | None = None) -> tuple[bytes, bool]:
     """The record with its sectors' last words restored, and whether a sector was torn."""
-    head = header(record)
+    head = head or header(record)
     if head is None or head.usa_offset + 2 * head.usa_count > len(record):
         return record, False
     words = struct.unpack_from(f"<{head.usa_count}H", record, head.usa_offset)
-    out, torn = bytearray(record), False
-    for k, word in enumerate(words[1:], 1):
+    out, torn, stamp = bytearray(record), False, record[head.usa_offset : head.usa_offset + 2]
+    for k in range(1, len(words)):
         at = k * sector - 2
         if at + 2 > len(out):
             break
-        torn |= struct.unpack_from("<H", out, at)[0] != words[0]
-        struct.pack_into("<H", out, at, word)
+        torn |= out[at : at + 2] != stamp
+        out[at : at + 2] = words[k].to_bytes(2, "little")
     return bytes(out), torn
 
 
-def attributes(record: bytes) -> Iterator[Attribute]:
-    head = header(record)
+def attributes(record: bytes, head: Header | None = None) -> Iterator[Attribute]:
+    head = head or header(record)
     if head is None:
         return
     at, end = head.first_attribute, min(head.bytes_used, len(record))
     while at + ATTR_HEADER <= end:
-        kind, length = struct.unpack_from("<II", record, at)
+        kind, length = _PAIR.unpack_from(record, at)
         if kind == ATTR_END or length < ATTR_HEADER or at + length > len(record):
             return
         yield Attribute(kind, at, length, record[at + 8] != 0)
@@ -95,32 +96,43 @@ def resident_value(record: bytes, a: Attribute) -> bytes | None:
     return value if len(value) == size else None
 
 
+def name_of(record: bytes, a: Attribute) -> tuple[int, int, str, int] | None:
+    """Size, parent, name and namespace of a name attribute; None for a reparse point or one that is cut off."""
+    value = resident_value(record, a)
+    if value is None or len(value) < 0x42:
+        return None
+    parent, size, flags, units, namespace = _NAME.unpack_from(value)
+    if flags & REPARSE_POINT or len(value) < 0x42 + 2 * units:
+        return None
+    return size, parent & ID_MASK, value[0x42 : 0x42 + 2 * units].decode("utf-16-le", "replace"), namespace
+
+
+def size_of(record: bytes, a: Attribute) -> int:
+    """Of a data attribute: allocated bytes if it lies outside the record, else its length."""
+    if a.non_resident:
+        return struct.unpack_from("<Q", record, a.start + 40)[0] if a.length >= 64 else 0
+    return struct.unpack_from("<I", record, a.start + 16)[0] if a.length >= 24 else 0
+
+
+def name_and_size(record: bytes, head: Header | None = None) -> tuple[tuple[int, int, str, int] | None, int]:
+    """The first Win32 name, else the last name, and the size of the first data attribute (0 without one), in one walk."""
+    chosen, size = None, None
+    for a in attributes(record, head):
+        if a.kind == ATTR_FILE_NAME and (chosen is None or chosen[3] not in WIN32_NAMESPACES):
+            chosen = name_of(record, a) or chosen
+        elif a.kind == ATTR_DATA and size is None:
+            size = size_of(record, a)
+    return chosen, size or 0
+
+
 def file_name(record: bytes) -> tuple[int, int, str] | None:
-    """Size, parent and name of the first Win32 name, else of the last one; reparse points have none."""
-    chosen = None
-    for a in attributes(record):
-        value = resident_value(record, a) if a.kind == ATTR_FILE_NAME else None
-        if value is None or len(value) < 0x42:
-            continue
-        parent, = struct.unpack_from("<Q", value, 0)
-        size, flags = struct.unpack_from("<QI", value, 0x30)
-        units, namespace = value[0x40], value[0x41]
-        if flags & REPARSE_POINT or len(value) < 0x42 + 2 * units:
-            continue
-        chosen = size, parent & ID_MASK, value[0x42 : 0x42 + 2 * units].decode("utf-16-le", "replace")
-        if namespace in WIN32_NAMESPACES:
-            break
-    return chosen
+    """Size, parent and name of the chosen name."""
+    chosen, _ = name_and_size(record)
+    return chosen and chosen[:3]
 
 
 def data_size(record: bytes) -> int:
-    """Of the first data attribute: allocated bytes if it lies outside the record, else its length."""
-    for a in attributes(record):
-        if a.kind == ATTR_DATA:
-            if a.non_resident:
-                return struct.unpack_from("<Q", record, a.start + 40)[0] if a.length >= 64 else 0
-            return struct.unpack_from("<I", record, a.start + 16)[0] if a.length >= 24 else 0
-    return 0
+    return name_and_size(record)[1]
 
 
 def file_info(record: bytes, sector: int = 512) -> FileInfo | None:
@@ -128,11 +140,11 @@ def file_info(record: bytes, sector: int = 512) -> FileInfo | None:
     head = header(record)
     if head is None or not head.used:
         return None
-    record, torn = fixup(record, sector)
-    name = file_name(record)
+    record, torn = fixup(record, sector, head)
+    name, data = name_and_size(record, head)
     if name is None:
         return None
-    size = max(data_size(record), name[0])
+    size = max(data, name[0])
     if size >= 1 << 63:  # no file's: the record is corrupt, and one such record must not end a load
         return None
     return FileInfo(name[1], name[2], size, head.is_directory, torn)
