@@ -482,6 +482,8 @@ def followed(spark: SparkSession, stream: DataFrame, path: str, end: int) -> Dat
         try:
             while query.isActive and not (query.lastProgress and str(query.lastProgress["sources"][0]["endOffset"]).find(str(end)) >= 0):
                 query.processAllAvailable()
+            if query.exception():
+                raise query.exception()
         finally:
             query.stop()
     finally:
