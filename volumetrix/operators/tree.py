@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schema import ROOT
@@ -53,17 +53,24 @@ def inner_paths(tree: Tree, max_depth: int = MAX_DEPTH) -> DataFrame:
     step = known.select(
         "volume", "mft_index", F.when(listed, F.concat(F.lit("\\"), "name")).otherwise("").alias("path"), F.when(~at_root & F.col("pi").isNotNull(), F.col("parent")).alias("ptr")
     )
-    step, reach = materialise(step, "tree-paths"), 1
-    while reach < max_depth and step.where("ptr is not null").limit(1).count():
+    (step, going), reach = _written(step), 1
+    while reach < max_depth and going:
         higher = step.select(F.col("volume").alias("pv"), F.col("mft_index").alias("pi"), F.col("path").alias("head"), F.col("ptr").alias("next"))
         step = step.join(higher, (F.col("volume") == F.col("pv")) & (F.col("ptr") == F.col("pi")), "left").select(
             "volume", "mft_index", F.concat(F.coalesce("head", F.lit("")), "path").alias("path"), F.col("next").alias("ptr")
         )
-        step = materialise(step, "tree-paths")
+        step, going = _written(step)
         reach *= 2
     return step.select("volume", "mft_index", "path", F.col("ptr").isNull().alias("complete"))
 
 
+def _written(step: DataFrame) -> tuple[DataFrame, int]:
+    """The round's rows, and how many of them go on, counted while they are written."""
+    seen = Observation()
+    out = materialise(step.observe(seen, F.count("ptr").alias("going")), "tree-paths")
+    return out, seen.get["going"]
+
+
 def drive(volume: Column) -> Column:
     return F.concat(F.upper(volume), F.lit(":"))
 
