@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side counts as small enough to broadcast.
 BROADCAST_ROWS = 100_000
+#: Texts in an Arrow batch; Spark's default of 10,000 long ones is tens of megabytes on either side, and again as Python strings.
+BATCH_ROWS = 2_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,5 +64,12 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", limit
     return big.join(F.broadcast(small) if small.limit(limit + 1).count() <= limit else small, on, how)
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Before texts go to Python: at most ``BATCH_ROWS`` of them at once, unless the session asks for fewer."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_checked, materialise
+from .common import bounded_batches, join_checked, materialise
 from .token_encoder import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -205,6 +205,7 @@ def _pass(rows: DataFrame, model: Model | None, kept: list, last: bool) -> DataF
 
 def predict(docs: DataFrame, models: Iterator[Model], *keep: Column) -> DataFrame:
     """``keep`` columns, lang_pred, score. Map-only; with several blocks each but the last writes what it has."""
+    bounded_batches(docs)
     rows = docs.select(*keep, F.col("text").cast("string").alias("__vx_text"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("__vx_top"), F.lit(0.0).alias("__vx_mass"))
     kept = rows.schema.fields[: len(keep)]
     model = next(models, None)

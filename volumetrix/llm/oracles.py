@@ -93,7 +93,7 @@ WITH d AS (
 ), valid AS (
   SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY k) AS certified FROM passed
 ), chosen AS (
-  SELECT stratum, arg_max(k, (caught - lost) * 1000 - k) AS chosen FROM valid WHERE certified AND caught > lost GROUP BY ALL
+  SELECT stratum, arg_max(k, (caught - {q.WORTH} * lost) * 1000 - k) AS chosen FROM valid WHERE certified AND caught > {q.WORTH} * lost GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND level > coalesce(chosen, 0) AS kept FROM b LEFT JOIN chosen USING (stratum)
 """

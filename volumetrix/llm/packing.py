@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_batches, materialise
 from .token_encoder import VOCABULARY, encoder, vocabulary_path
 
 LENGTH, END_ID, SHARD_ROWS = 2048, 0, 16_000
@@ -31,6 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces; map-only."""
     path = vocabulary_path(vocabulary)
+    bounded_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,8 @@ P(Bin(n, limit) <= rejected good documents) <= d, refutes a false rejection rate
 testing ends at the first failure (fixed sequence, no further correction); over strata ``error`` is
 divided by their number (Bonferroni) to give d. So with confidence 1 - ``error`` the rules falsely
 reject at most ``limit`` in every stratum at once. Of the valid levels the one with the largest
-excess of bad over good rejections is used, ties going to the looser one; a stratum with no such
-level (too few labels: 217 good documents for four strata) rejects nothing beyond the base rules.
+excess of rejected bad documents over ``WORTH`` times the good ones is used, ties going to the looser
+one; a stratum with no such level (too few labels: 217 good documents for four strata) rejects nothing beyond the base rules.
 
 Edge cases: a null or empty text has no words and fails the base rules. A null stratum counts as the
 empty string. Labels without a document, without quality or with a null id are ignored; a document
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, join_checked, materialise
+from .common import bounded_batches, discard, join_checked, materialise
 
 #: Rules: name and ascending cutoffs; a document is rejected when its feature is above the cutoff. Level k is the k-th from the end.
 RULES: dict[str, tuple[float, ...]] = {
@@ -43,6 +43,8 @@ LEVELS = max(map(len, RULES.values()))
 NEVER = LEVELS + 1
 MIN_WORDS = 50
 LIMIT, ERROR = 0.02, 0.05
+#: Bad documents that must go for each good one that a tighter level loses within the limit.
+WORTH = 3
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_WORD = _SPACE + bytes(range(0x80, 0xC0))  # white space, and bytes that continue a code point
@@ -154,8 +156,8 @@ def pick_level(good: list[int], bad: list[int], limit: float, error: float) -> i
         # P(Bin <= lost) is over 0.4 once lost reaches the mean, so the sum stays short
         if n == 0 or lost >= n * limit + 1 or binomial_tail(lost, n, limit) > error:
             break
-        if caught - lost > best:
-            best, chosen = caught - lost, k
+        if caught - WORTH * lost > best:
+            best, chosen = caught - WORTH * lost, k
     return chosen
 
 
@@ -196,6 +198,7 @@ def stratum(column: str = "lang") -> Column:
 
 def measured(docs: DataFrame, keep: list[Column], strata: str = "lang") -> DataFrame:
     """``keep`` columns, the features as a struct and what follows from them, written once."""
+    bounded_batches(docs)
     own = docs.select(*keep, F.col("doc_id").alias("__vx_id"), stratum(strata).alias("__vx_stratum"), features().alias("__vx_m"))
     return materialise(own.withColumn("__vx_failed", base_failed()).withColumn("__vx_level", level()), "rule-features")
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise
+from .common import bounded_batches, discard, materialise
 
 WORDS, SEED, BITS, THRESHOLD = 4, 42, 64, 4
 #: Blocks and how many of them agree in a candidate group, by growing number of distinct fingerprints.
@@ -73,6 +73,7 @@ def fingerprint(text: bytes) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", row: bool = False) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), and the row itself as a struct if asked; map-only."""
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__vx_row")] if row else []
+    bounded_batches(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__vx_text"), *whole)
     schema = T.StructType([own.schema["doc_id"], T.StructField("fp", T.LongType()), *own.schema.fields[2:]])
 

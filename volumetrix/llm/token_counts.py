@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import bounded_batches, materialise
 from .token_encoder import VOCABULARY, encoder, vocabulary_path
 
 #: Lengths that share a chunk of the two-level suffix sums.
@@ -22,6 +22,7 @@ CHUNK = 1024
 
 def token_lengths(docs: DataFrame, *keep: Column, text: str = "text", vocabulary: str = VOCABULARY, end_ids: int = 0) -> DataFrame:
     """``keep`` columns plus n_tokens (long); map-only."""
+    bounded_batches(docs)
     own = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__vx_text"))
     kept = own.schema.fields[:-1]
     path = vocabulary_path(vocabulary)
