@@ -345,15 +345,35 @@ def test_language_id(spark):
     assert language_id.identify(frame(spark, ["abc", "def"], langs=[None, None])).select("lang_pred").distinct().collect() == [("und",)]
 
 
-def test_language_id_counts_pieces(spark):
-    """The model's probabilities are smoothed counts of the labelled texts' pieces; a small cache changes nothing."""
-    texts, langs = ["The cat, the dog.", "der Hund und der Hund", "le chien", "the end"], ["en", "de", "fr", "en"]
+def segmentations(word, known):
+    """All ways to cut a word into pieces, single characters that are none included."""
+    if not word:
+        yield []
+    for k in range(1, min(len(word), language_id.PIECE_CHARS) + 1):
+        if k == 1 or word[:k] in known:
+            yield from ([word[:k], *rest] for rest in segmentations(word[k:], known))
+
+
+def test_language_id_fits_expected_pieces(spark):
+    """Probabilities are smoothed expected counts over all segmentations, by listing them; a small cache changes nothing."""
+    texts, langs = ["The cat, the dog.", "der Hund und der Hund", "le chien 日", "the end"], ["en", "de", "fr", "en"]
     model, = language_id.fit(frame(spark, texts, langs=langs))
-    pieces, _ = language_id._pieces(model.path)
+    pieces, known = language_id._pieces(model.path)
+    size, smooth = pieces.get_piece_size(), language_id.SMOOTHING
     for k, lang in enumerate(model.langs):
-        seen = Counter(p for t, la in zip(texts, langs) if la == lang for w in re.findall(r"[^\W\d_]+", t.lower()) for p in pieces.encode(w))
-        total = sum(seen.values()) + language_id.SMOOTHING * pieces.get_piece_size()
-        assert all(model.table[p, k] == pytest.approx((n + language_id.SMOOTHING) / total) for p, n in seen.items())
+        words = Counter(w for t, la in zip(texts, langs) if la == lang for w in re.findall(r"[^\W\d_]+", t.lower()))
+        first, seen = np.full(size, smooth), np.full(size, smooth)
+        for w, n in words.items():
+            for p in pieces.encode(w):
+                first[p] += n
+        first /= first.sum()
+        for w, n in words.items():
+            ways = [(way, math.prod(first[known[x]] if x in known else language_id.OUTSIDE for x in way)) for way in segmentations("▁" + w, known)]
+            for way, p in ways:
+                for x in way:
+                    if x in known:
+                        seen[known[x]] += n * p / sum(q for _, q in ways)
+        assert np.allclose(model.table[:-2, k], seen / seen.sum(), rtol=1e-4)
     small = language_id.Model(model.langs, model.table[:-2], model.path, cells=9)
     parts = [["the cat", "der Hund"], ["le chien the", None], ["the end of the cat and the dog der"], ["der"]]
     assert all((x is None) == (y is None) and (x is None or np.allclose(x, y)) for p in parts for x, y in zip(small.totals(p), model.totals(p)))

@@ -1,8 +1,9 @@
 """Language identification by unigrams over a fixed public piece vocabulary, summed over segmentations.
 
-Per language, each vocabulary piece gets a smoothed probability from the pieces of labelled texts.
-A word's probability in a language is the sum over all its segmentations into pieces (forward
-algorithm); a text's score is the sum of its words' log probabilities, and the prediction the
+Per language, each vocabulary piece gets a smoothed probability: first from the pieces of labelled
+texts as the vocabulary's own segmentation cuts them, then from expected counts over all
+segmentations (forward and backward sums, one step of expectation maximisation). A word's probability
+in a language is the sum over all its segmentations into pieces (forward algorithm); a text's score is the sum of its words' log probabilities, and the prediction the
 language with the highest, score being its posterior under equal priors.
 
 Fitting reads at most about ``TRAIN_DOCS`` labelled texts per language, chosen by a hash of doc_id, of
@@ -70,34 +71,73 @@ def bounded(labelled: DataFrame, per_lang: int) -> DataFrame:
     return join_checked(labelled, share, "lang").where(draw < F.col("share")).drop("share")
 
 
-def piece_counts(labelled: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """lang, piece (vocabulary id), n: at most languages x vocabulary rows."""
+def own_pieces(path: str, words: Counter) -> Counter:
+    """Pieces of the words' own segmentations."""
+    found: Counter = Counter()
+    for pieces, n in zip(_pieces(path)[0].encode(list(words)), words.values()):
+        for p in pieces:
+            found[p] += n
+    return found
+
+
+def expected_pieces(path: str, words: Counter, probs: np.ndarray) -> Counter:
+    """Expected pieces over all segmentations, under one language's probabilities.
+
+    A piece from i to j is in a word's segmentation with probability alpha[i] p beta[j] / alpha[end].
+    Words beyond ``PLAIN_CHARS``, where plain numbers would underflow, count by their own segmentation.
+    """
+    get, none = _pieces(path)[1].get, len(probs)
+    table, sums = np.append(probs, [0.0, OUTSIDE]), np.zeros(len(probs) + 2)
+    by_size: dict[int, list[str]] = {}
+    for w in words:
+        by_size.setdefault(len(w) + 1, []).append(w)
+    long = Counter({w: words[w] for size, some in by_size.items() if size > PLAIN_CHARS for w in some})
+    for size, some in by_size.items():
+        if size > PLAIN_CHARS:
+            continue
+        texts, n = [_START + w for w in some], np.fromiter((words[w] for w in some), float, len(some))
+        spans = [(i, j) for j in range(1, size + 1) for i in range(max(0, j - PIECE_CHARS), j)]
+        ids = {(i, j): np.fromiter((get(t[i:j], none + (j - i == 1)) for t in texts), np.int64, len(texts)) for i, j in spans}
+        alpha, beta = np.zeros((size + 1, len(texts))), np.zeros((size + 1, len(texts)))
+        alpha[0] = beta[size] = 1.0
+        for i, j in spans:
+            alpha[j] += alpha[i] * table[ids[i, j]]
+        for i, j in reversed(spans):
+            beta[i] += beta[j] * table[ids[i, j]]
+        weight = n / alpha[size]
+        for i, j in spans:
+            sums += np.bincount(ids[i, j], weight * alpha[i] * table[ids[i, j]] * beta[j], len(sums))
+    found = Counter({int(k): float(sums[k]) for k in np.flatnonzero(sums[:-2])})
+    for p, n in own_pieces(path, long).items() if long else ():
+        found[p] += n
+    return found
+
+
+def piece_counts(labelled: DataFrame, vocabulary: str = VOCABULARY, model: "Model | None" = None) -> DataFrame:
+    """lang, piece (vocabulary id), n (double): at most languages x vocabulary rows. With ``model``, expected counts of its languages."""
     path = vocabulary_path(vocabulary)
+    shared = labelled.sparkSession.sparkContext.broadcast((model.langs, model.table[:-2].astype(np.float32))) if model else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, _ = _pieces(path)
         words: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(letters(text.lower()))
             if sum(map(len, words.values())) > 300_000:
-                yield out(model, words)
+                yield out(words)
                 words = {}
-        yield out(model, words)
+        yield out(words)
 
-    def out(model, words: dict[str, Counter]) -> pa.RecordBatch:
+    def out(words: dict[str, Counter]) -> pa.RecordBatch:
         langs, ids, counts = [], [], []
         for lang, seen in words.items():
-            found: Counter = Counter()
-            for pieces, n in zip(model.encode(list(seen)), seen.values()):
-                for p in pieces:
-                    found[p] += n
+            found = expected_pieces(path, seen, shared.value[1][:, shared.value[0].index(lang)].astype(np.float64)) if shared else own_pieces(path, seen)
             langs += [lang] * len(found)
             ids += list(found)
             counts += list(found.values())
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "piece", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.int32()), pa.array(counts, pa.float64())], names=["lang", "piece", "n"])
 
-    made = labelled.select("lang", "text").mapInArrow(run, "lang string, piece int, n long")
+    made = labelled.select("lang", "text").mapInArrow(run, "lang string, piece int, n double")
     return made.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
@@ -165,17 +205,25 @@ class Model:
 
 def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS, vocabulary: str = VOCABULARY, smoothing: float = SMOOTHING, block: int = BLOCK_LANGS) -> Iterator[Model]:
     """Models of all languages of the labelled rows (doc_id, text, lang; nulls left out), a block at a time, in code point order."""
+    bounded_batches(docs)
     labelled = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    counted = materialise(piece_counts(bounded(labelled, per_lang), vocabulary), "lang-pieces")
+    labelled = materialise(bounded(labelled, per_lang).select("lang", "text"), "lang-train")
     path = vocabulary_path(vocabulary)
     size = _pieces(path)[0].get_piece_size()
-    langs = sorted(r.lang for r in counted.select("lang").distinct().toLocalIterator())  # names alone
-    for k in range(0, len(langs), block):
-        some = langs[k : k + block]
+    own = materialise(piece_counts(labelled, vocabulary), "lang-pieces")
+    langs = sorted(r.lang for r in own.select("lang").distinct().toLocalIterator())  # names alone
+
+    def model(counted: DataFrame, some: list[str]) -> Model:
         at, counts = {x: j for j, x in enumerate(some)}, np.full((size, len(some)), smoothing)
-        rows = counted.where((F.col("lang") >= some[0]) & (F.col("lang") <= some[-1])).toArrow()  # vocabulary x block at most
+        rows = counted.toArrow()  # vocabulary x block at most
         counts[rows["piece"].to_numpy(), [at[x] for x in rows["lang"].to_pylist()]] += rows["n"].to_numpy()
-        yield Model(some, counts / counts.sum(axis=0, keepdims=True), path)
+        return Model(some, counts / counts.sum(axis=0, keepdims=True), path)
+
+    for k in range(0, len(langs), block):
+        some = langs[k : k + block]
+        inside = (F.col("lang") >= some[0]) & (F.col("lang") <= some[-1])
+        first = model(own.where(inside), some)
+        yield model(piece_counts(labelled.where(inside), vocabulary, first), some)
 
 
 def _pass(rows: DataFrame, model: Model | None, kept: list, last: bool) -> DataFrame:
