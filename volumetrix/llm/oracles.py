@@ -100,18 +100,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def license_scan_sql() -> str:
-    """A step per rule over the lines of identifiers, each identifier between two blanks of its own."""
+    """A step per rule over the lines of identifiers, each identifier between two blanks of its own.
+
+    Wraps are marked by a character of their own, so that a paragraph's sentences can be read joined
+    and line by line side by side.
+    """
     ls = license_scan
     known = ", ".join(f"({quoted(s)}, {quoted(n)})" for s, n in ls.table().items())
+    plain = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    tally = "count(*) AS n, count(id) AS hits, string_agg(' ' || coalesce(id, '?') || ' ', '' ORDER BY {0}) AS line, coalesce(string_agg(id, ',' ORDER BY {0}), '') AS ids"
+    cut = lambda text: rf"string_split_regex(regexp_replace({text}, '([.!?])[ \t]+', '\1' || chr(1), 'g'), '\x01|[\r\n]+')"
     reading = lambda name, text: rf"""
-{name}_cut AS (SELECT r, string_split_regex(regexp_replace({text}, '([.!?])[ \t]+', '\1' || chr(1), 'g'), '\x01|[\r\n]+') AS parts FROM cued),
-{name}_row AS (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM {name}_cut),
 {name} AS (
-  SELECT r, count(*) AS n, count(known.id) AS hits, string_agg(' ' || coalesce(known.id, '?') || ' ', '' ORDER BY pos) AS line, coalesce(string_agg(known.id, ',' ORDER BY pos), '') AS ids
-  FROM {name}_row LEFT JOIN known ON known.s = trim(regexp_replace(lower({name}_row.s), '[^a-z0-9]+', ' ', 'g'), ' ') GROUP BY r
+  SELECT r, {tally.format('pos')} FROM (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS pos FROM (SELECT r, {cut(text)} AS parts FROM cued)) x
+  LEFT JOIN known ON known.s = {plain.format('x.s')} GROUP BY r
 )"""
     # a wrapped line's end has no line end on either side; its neighbours stay
-    joined = r"regexp_replace(regexp_replace(t, '([^\r\n])\r?\n([^\r\n])', '\1 \2', 'g'), '([^\r\n])\r?\n([^\r\n])', '\1 \2', 'g')"
+    mark = lambda t: rf"regexp_replace({t}, '(^|[^\r\n])\r?\n([^\r\n]|$)', '\1' || chr(2) || '\2', 'g')"
     steps, at = [], "rule_0"
     for k, (name, ids) in enumerate(ls.RULES, 1):
         pattern = quoted(" " + (r"  (?:\?  ){0,%d}" % ls.GAP).join(ids) + " ")
@@ -119,16 +124,34 @@ def license_scan_sql() -> str:
         at = f"rule_{k}"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-cued AS (SELECT r, t FROM d WHERE regexp_matches(t, {quoted(ls.CUES)})),
+cued AS MATERIALIZED (SELECT r, t, {mark(mark('t'))} AS marked FROM d WHERE regexp_matches(t, {quoted(ls.CUES)})),
 known(s, id) AS (VALUES {known}),
 {reading("lines", "t")},
-{reading("joined", joined)},
-rule_0 AS (
-  SELECT r, CASE WHEN j.hits > l.hits THEN j.n ELSE l.n END AS n, CASE WHEN j.hits > l.hits THEN j.ids ELSE l.ids END AS ids, CASE WHEN j.hits > l.hits THEN j.line ELSE l.line END AS line, []::VARCHAR[] AS names
+{reading("joined", "replace(marked, chr(2), ' ')")},
+one AS MATERIALIZED (
+  SELECT r, j.hits > l.hits AS more, greatest(j.hits, l.hits) AS hits, l.hits > 0 AND j.hits > 0 AND l.ids <> j.ids AS differ,
+         CASE WHEN j.hits > l.hits THEN j.n ELSE l.n END AS n, CASE WHEN j.hits > l.hits THEN j.ids ELSE l.ids END AS ids, CASE WHEN j.hits > l.hits THEN j.line ELSE l.line END AS line
   FROM lines l JOIN joined j USING (r)
 ),
+piece AS (
+  SELECT r, more, unnest(parts) AS p, generate_subscripts(parts, 1) AS para
+  FROM (SELECT r, more, string_split_regex(regexp_replace(marked, '([.!?])[ \t\x02]+', '\1' || chr(1), 'g'), '\x01|[\r\n]+') AS parts FROM cued JOIN one USING (r) WHERE differ)
+),
+piece_line AS (
+  SELECT r, more, para, pos, whole, known.id FROM (
+    SELECT r, more, para, known.id AS whole, unnest(string_split(p, chr(2))) AS s, generate_subscripts(string_split(p, chr(2)), 1) AS pos FROM piece LEFT JOIN known ON known.s = {plain.format("replace(p, chr(2), ' ')")}
+  ) x LEFT JOIN known ON known.s = {plain.format('x.s')}
+),
+both_row AS (
+  SELECT r, para, pos, CASE WHEN apart THEN id ELSE whole END AS id FROM (SELECT *, whole IS NULL AND (NOT more OR count(id) OVER (PARTITION BY r, para) > 0) AS apart FROM piece_line) WHERE apart OR pos = 1
+),
+both_readings AS (SELECT r, {tally.format('para, pos')} FROM both_row GROUP BY r),
+rule_0 AS (
+  SELECT r, CASE WHEN b.hits > one.hits THEN b.n ELSE one.n END AS n, CASE WHEN b.hits > one.hits THEN b.ids ELSE one.ids END AS ids, CASE WHEN b.hits > one.hits THEN b.line ELSE one.line END AS line, []::VARCHAR[] AS names
+  FROM one LEFT JOIN both_readings b USING (r)
+),
 {", ".join(steps)}
-SELECT doc_id, coalesce(n, len(string_split_regex(regexp_replace(d.t, '([.!?])[ \t]+', '\1' || chr(1), 'g'), '\x01|[\r\n]+'))) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(names, ','), '') AS licenses, names[1] AS license
+SELECT doc_id, coalesce(n, len({cut('d.t')})) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(names, ','), '') AS licenses, names[1] AS license
 FROM d LEFT JOIN {at} USING (r)
 """
 
