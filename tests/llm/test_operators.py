@@ -171,6 +171,15 @@ def test_mixture_takes_prefixes_of_seeded_epochs(spark, epochs, share):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.epochs for r in rows if r.epochs})
 
 
+def test_mixture_of_a_large_group_without_ids(spark):
+    """Rows without an id share one place in the order: they are taken alike, and summed before they meet."""
+    docs = frame(spark, [f"some words {k % 7}" for k in range(3000)] + ["one more text"] * 1500, ids=[None] * 3000 + list(range(1500)))
+    rows = mixing.mixture(docs, 0.5, 1).collect()
+    assert len(rows) == 4500 and len({r.epochs for r in rows if r.doc_id is None}) == 1
+    taken, total = sum(r.epochs * r.n_tokens for r in rows), sum(r.n_tokens for r in rows)
+    assert taken <= 0.5 * total + 1
+
+
 def shuffled(spark, epoch, doc_id, seed=mixing.SEED):
     h = 42
     for x in (np.int32(seed), np.int64(epoch), np.int64(doc_id)):

@@ -127,3 +127,32 @@ def test_run(spark, case):
         assert all(i in taken for i in order[:n])
         used = sum(len(ids[i]) for i in order[:n])
         assert used <= budgets[key] + 1 and (n == len(order) or used + len(ids[order[n]]) > budgets[key] - 4)
+
+
+def staged(spark, at, rows):
+    """Rows after each stage, for documents given as (doc_id, text, lang, source)."""
+    full = [(i, t, la, s, len(t or ""), "h", 1, 2, 3, "x") for i, t, la, s in rows]
+    spark.createDataFrame(full, SCHEMA).coalesce(2).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{at}/labels.parquet")
+    docs, out = spark.read.parquet(f"{at}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, at).write.parquet(f"{at}/stage-{k}")
+        docs = spark.read.parquet(f"{at}/stage-{k}")
+        out.append(docs.collect())
+    return out
+
+
+def test_empty_tables(spark, tmp_path):
+    assert staged(spark, str(tmp_path), []) == [[]] * 5
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Rows without an id or with one id are told apart by their texts; equal rows are one; nulls in every column crash nothing."""
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(str(rng.random()) for _ in range(60)) for _ in range(5))
+    rows = [(None, a, "en", "src1"), (None, b, None, None), (7, c, "en", "src1"), (7, c, "en", "src1"), (7, d, "en", None), (8, None, None, None), (9, "", "en", "src1"), (10, e, "en", "src5"), (None, None, None, None)]
+    quality, lined, near, mixed, packed = staged(spark, str(tmp_path), rows)
+    pairs = lambda found: sorted((r.doc_id or 0, r.text) for r in found)
+    assert pairs(quality) == pairs(lined) == sorted([(0, a), (0, b), (7, c), (7, c), (7, d), (10, e)])
+    assert pairs(near) == sorted([(0, a), (0, b), (7, c), (7, d), (10, e)])
+    assert 0 < len(mixed) <= len(near) and set(pairs(mixed)) <= set(pairs(near)) and len(packed) == len(mixed)
