@@ -2,6 +2,13 @@
 
 Every stage reads what the one before kept, written as Parquet. All but the last return the columns
 of ``documents``; the last returns one row per packed piece.
+
+Edge cases: empty tables pass through every stage as empty. Null and empty texts have no words and go
+in the first stage. Rows without a doc_id, or with one doc_id and different texts, are told apart by
+their texts; in the mixture they share one place in the order and are taken together or not at all.
+Rows that repeat in full are near duplicates, of which one stays. Null languages and sources are a
+stratum and a leaf of their own. Further columns, also those with names the operators use, pass
+through untouched up to the last stage.
 """
 
 from __future__ import annotations
