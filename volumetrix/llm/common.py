@@ -34,12 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut and the size is known from then on.
 
-    Files go when the driver ends, or earlier through ``discard``.
+    ``narrow``: rows are a few numbers each, so they are dealt to as many files as there are cores,
+    where one per input split or shuffle partition would be very many very small ones. Files go when
+    the driver ends, or earlier through ``discard``.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.repartition(max(1, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/vx-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

@@ -123,7 +123,7 @@ def exact_groups(docs: DataFrame, text: str = "text", max_bits: int = MAX_BITS)
     # rows that repeat id and text are one until the end, so the join with the groups has nothing above it and may be split
     again = known.where("__vx_maybe").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
     groups = again.groupBy(F.col("text_sha256").alias("__vx_sha")).agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    groups = materialise(groups, "exact-groups")  # written, so that both sides of the join are plain shuffles, which can be split
+    groups = materialise(groups, "exact-groups", narrow=True)  # written, so that both sides of the join are plain shuffles, which can be split
     joined = again.join(groups, F.col("text_sha256") == F.col("__vx_sha")).drop("__vx_sha").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     settled = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("k") == 1))
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]

@@ -60,10 +60,10 @@ def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """__vx_id, __vx_t, __vx_lost (positions): one row per document that loses a line."""
     lines = materialise(long_lines(docs, min_chars), "lines-long")
-    often = materialise(frequent_lines(lines, min_docs), "lines-often")
+    often = materialise(frequent_lines(lines, min_docs), "lines-often", narrow=True)
     hits = join_checked(lines, often, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("last")))
     lost = hits.groupBy(F.col("id").alias("__vx_id"), F.col("t").alias("__vx_t")).agg(F.collect_set("pos").alias("__vx_lost"))
-    return materialise(lost, "lines-lost")
+    return materialise(lost, "lines-lost", narrow=True)
 
 
 def _with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:

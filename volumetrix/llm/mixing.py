@@ -154,14 +154,14 @@ def copies(docs: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mixture(docs: DataFrame, budget_share: float = 0.8, max_epochs: int = 4, seed: int = SEED, domain: Column | None = None, weights: Callable[[str], Column] = default_weights) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epochs: one row per document row, untaken ones too."""
-    measured = materialise(token_lengths(docs, F.col("doc_id"), *keys(domain), end_ids=1), "mix-tokens")
+    measured = materialise(token_lengths(docs, F.col("doc_id"), *keys(domain), end_ids=1), "mix-tokens", narrow=True)
     out = copies(measured, plan(measured, budget_share, max_epochs, seed, weights), seed)
     return out.select("doc_id", *[F.col(k).alias(k[5:]) for k in LEVELS], "n_tokens", "epochs")
 
 
 def mix(docs: DataFrame, budget_share: float = 0.8, max_epochs: int = 4, seed: int = SEED, domain: Column | None = None, weights: Callable[[str], Column] = default_weights) -> DataFrame:
     """The documents with their own columns, each as often as it is taken. Texts are not shuffled."""
-    measured = materialise(token_lengths(docs, F.col("doc_id"), *keys(domain), end_ids=1), "mix-tokens")
+    measured = materialise(token_lengths(docs, F.col("doc_id"), *keys(domain), end_ids=1), "mix-tokens", narrow=True)
     planned = plan(measured, budget_share, max_epochs, seed, weights)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__vx_row")
     taken = copies(docs.select(row, F.col("doc_id"), *keys(domain)), planned, seed).where("epochs > 0")

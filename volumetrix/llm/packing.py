@@ -95,4 +95,4 @@ def pack(parts: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, text: str = "text", vocabulary: str = VOCABULARY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    return pack(materialise(pieces(docs, length, end_id, text, vocabulary), "pieces"), length, shard_rows)
+    return pack(materialise(pieces(docs, length, end_id, text, vocabulary), "pieces", narrow=True), length, shard_rows)

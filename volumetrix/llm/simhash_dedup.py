@@ -207,7 +207,7 @@ def met(distinct: DataFrame, threshold: int = THRESHOLD, group_rows: int = GROUP
 
     keyed = distinct.select("fp").mapInArrow(expand, "mask int, part long, fp long, pivots binary")
     found = keyed.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(compare, "kind int, u long, v long, n long")
-    return materialise(found, "simhash-met")
+    return materialise(found, "simhash-met", narrow=True)
 
 
 def figures(found: DataFrame) -> dict[str, int]:
@@ -248,7 +248,7 @@ def connected(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each with map-side minima, until nothing changes;
     every round is written to the shared folder, so a lost executor costs one round at most.
     """
-    edges = materialise(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "cc-0")
+    edges = materialise(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "cc-0", narrow=True)
     state, turn = None, 0
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -260,16 +260,16 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         small = large.join(least, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        before, edges = edges, materialise(small, f"cc-{turn}")
+        before, edges = edges, materialise(small, f"cc-{turn}", narrow=True)
         discard(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, fp, root (a fingerprint that names the component) and component_id: one row per document row."""
-    own = materialise(fingerprints(docs, text), "simhash-fps")
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = materialise(connected(links(met(distinct, threshold, group_rows), threshold)), "simhash-roots")
+    own = materialise(fingerprints(docs, text), "simhash-fps", narrow=True)
+    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", narrow=True)
+    roots = connected(links(met(distinct, threshold, group_rows), threshold))
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     found = of.join(named, "root").select(F.col("fp").alias("__vx_fp"), "root", "component_id")
@@ -287,7 +287,7 @@ def keep_one(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD) ->
     Where ids are not unique, rows are told apart by id and fingerprint, so that rows which share an
     id (or have none) but belong to different components all stay.
     """
-    found = materialise(classes(docs, text, threshold), "simhash-classes")
+    found = materialise(classes(docs, text, threshold), "simhash-classes", narrow=True)
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__vx_id"))
         side = F.broadcast(lost) if lost.limit(BROADCAST_LOST + 1).count() <= BROADCAST_LOST else lost.hint("shuffle_hash")  # hashed: texts stream past it
