@@ -69,13 +69,11 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """limit, truncated_tokens, docs_over for any context limits, from the suffix sums alone."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(c),) for c in limits], "limit long")
-    above = asked.join(F.broadcast(sums) if sums.count() <= 100_000 else sums, F.col("length") > F.col("limit"), "left")
-    per = above.groupBy("limit").agg(F.coalesce(F.max("docs_at_least"), F.lit(0)).alias("docs_over"), F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("t"))
-    total = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"))
-    return per.crossJoin(F.broadcast(total)).select("limit", (F.col("total_tokens") - F.col("t") + F.col("limit") * F.col("docs_over")).alias("truncated_tokens"), "docs_over")
+    """limit, truncated_tokens, docs_over for any context limits: one pass over the suffix sums, of which each limit takes those above it."""
+    over = lambda c, x: F.coalesce(F.max(F.when(F.col("length") > c, F.col(x))), F.lit(0))
+    total = F.coalesce(F.max("total_tokens"), F.lit(0))
+    rows = [F.struct(F.lit(int(c)).cast("long").alias("limit"), (total - over(c, "tokens_at_least") + c * over(c, "docs_at_least")).alias("truncated_tokens"), over(c, "docs_at_least").alias("docs_over")) for c in limits]
+    return sums.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, end_ids: int = 0) -> DataFrame:
