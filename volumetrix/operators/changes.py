@@ -82,6 +82,23 @@ class RenameQueue:
         return True
 
 
+class RenameCounts:
+    """Records waiting for their new name, none forgotten: how often each waits is all that counts. ``store`` holds that by record."""
+
+    def __init__(self, store):
+        self.store = store
+
+    def push(self, index: int) -> None:
+        self.store.put(index, ((self.store.get(index) or (0,))[0] + 1,))
+
+    def take(self, index: int) -> bool:
+        waiting = self.store.get(index)
+        if waiting is None:
+            return False
+        self.store.put(index, (waiting[0] - 1,) if waiting[0] > 1 else None)
+        return True
+
+
 class Fold:
     """Sequential replay onto a table of records, with every guard."""
 
